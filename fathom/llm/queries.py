@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import jpeg, order_minhash, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_edited(documents(spark, sf_dir))
+
+
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store_texts(documents(spark, sf_dir), with_media=False)
+
+
 def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_pack_best_fit": op7_pack_best_fit}
+    return {"op1_order_minhash": op1_order_minhash, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
