@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, order_minhash, packing
+from . import jpeg, order_minhash, ordinal, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edited(documents(spark, sf_dir))
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return ordinal.score(docs, ordinal.train(docs, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(documents(spark, sf_dir), with_media=False)
 
@@ -26,7 +31,7 @@ def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
+    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
