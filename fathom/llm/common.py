@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -154,3 +155,16 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     skip = np.repeat(np.cumsum(length) - length, length)
     return np.arange(total) - skip + np.repeat(start, length)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: computed once, lineage cut, no executor needed.
+
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/fathom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, order_minhash, ordinal, packing
+from . import jpeg, order_minhash, ordinal, packing, pii
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(documents(spark, sf_dir), with_media=False)
 
@@ -31,7 +35,7 @@ def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
+    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
