@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, order_minhash, ordinal, packing, pii
+from . import jpeg, mixing, order_minhash, ordinal, packing, pii
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +30,17 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(documents(spark, sf_dir), with_media=False)
 
 
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "lang", "n_chars", "text", "mix_copy", "mix_key")
+
+
 def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op7_pack_best_fit": op7_pack_best_fit}
+    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op6_poisson_mix": op6_poisson_mix, "op7_pack_best_fit": op7_pack_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_poisson_mix": mixing.ORACLE_SQL}
