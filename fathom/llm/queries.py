@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jpeg, mixing, ngram_join, order_minhash, ordinal, packing, pii
+from . import jpeg, line_dedup, mixing, ngram_join, order_minhash, ordinal, packing, pii
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,17 @@ def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("kept_chars"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op6_poisson_mix": op6_poisson_mix, "op7_pack_best_fit": op7_pack_best_fit, "op10_ngram_join": op10_ngram_join}
+    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op6_poisson_mix": op6_poisson_mix, "op7_pack_best_fit": op7_pack_best_fit, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
