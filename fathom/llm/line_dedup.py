@@ -109,7 +109,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 raw = [own.code[own.start[i] : own.end[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(own.node[hit].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "content"])
 
-        return docs.mapInArrow(run, "node long, content binary").dropDuplicates(["node"])
+        return docs.mapInArrow(run, "node long, content binary")
 
     linked = linking.components(docs.select("text").mapInArrow(enter, linking.ENTRIES), contents_of, line_set, accept, "line")
     place = F.struct("doc_id", "tie", "line")

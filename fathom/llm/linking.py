@@ -171,7 +171,14 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, al
     others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
     meet = dealt.select("node", "family", "component", "block", F.explode(others).alias("other"))
     meet = meet.select("node", "component", "block", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
-    full = meet.join(contents, "node")
+    meet = materialize(meet, f"{name}-meet")
+    some = spark.sparkContext.broadcast(needed(meet))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(some.value[filter_places(batch["node"].to_numpy().view(np.uint64))]))
+
+    full = meet.join(contents.mapInArrow(pick, "node long, content binary").dropDuplicates(["node"]), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         low = table["low"][0].as_py()
@@ -182,7 +189,6 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, al
         found = [(node[mine[i]], node[rest[j]]) for i, j in alike_sets([content[i] for i in mine], [content[j] for j in rest]) if part[mine[i]] != part[rest[j]]]
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    del spark
     return full.select("node", "component", "block", "meeting", "low", "content").groupBy("meeting").applyInArrow(compare, "a long, b long")
 
 
@@ -202,7 +208,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[
 def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_set: Callable[[bytes], np.ndarray], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, plausible: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
     """node, component for all nodes with a link.
 
-    contents_of(filter): node, content of the nodes that pass the filter, each once.
+    contents_of(filter): node, content of the nodes that pass the filter, at least once each.
     accept(common, size, size): which pairs link.  sift: a filter on candidate pairs by what
     is known without contents; plausible: a filter on two sets before they are compared.
     """
@@ -213,7 +219,8 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
     pairs = materialize(sift(pairs) if sift else pairs, f"{name}-pairs")
     members = met.where("kind = 1").select("a", "b")
     want = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(members.select(F.col("a").alias("node")))
-    contents = materialize(contents_of(needed(want)), f"{name}-contents")
+    raw = materialize(contents_of(needed(want)), f"{name}-contents")
+    contents = raw.dropDuplicates(["node"])
 
     def alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
         known: dict[bytes, np.ndarray] = {}
@@ -237,5 +244,5 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
     first = connected(edges, f"{name}-first")
     if members.isEmpty():
         return first
-    more = materialize(crosswise(members, first, contents, alike_sets, name), f"{name}-more")
+    more = materialize(crosswise(members, first, raw, alike_sets, name), f"{name}-more")
     return connected(edges.union(more), f"{name}-all") if not more.isEmpty() else first

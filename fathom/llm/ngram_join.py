@@ -76,6 +76,17 @@ def prefix(token: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     return token if length >= len(token) else token[np.argpartition(keys, length - 1)[:length]]
 
 
+def to_content(token: np.ndarray) -> bytes:
+    """The high 40 bits of each hash: two unequal n-grams of a pair agree in them once in a million pairs."""
+    return np.ascontiguousarray(token).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def from_content(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (SHARE[1] * common >= SHARE[0] * (one + two - common)) & (common > 0)
 
@@ -156,9 +167,9 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 size, token, node = _once(batch, seen)
                 end = np.cumsum(size)
                 hit = np.flatnonzero(some.value[linking.filter_places(node)])
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), pa.array([token[end[i] - size[i] : end[i]].tobytes() for i in hit], pa.binary())], names=["node", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), pa.array([to_content(token[end[i] - size[i] : end[i]]) for i in hit], pa.binary())], names=["node", "content"])
 
-        return docs.mapInArrow(run, "node long, content binary").dropDuplicates(["node"])
+        return docs.mapInArrow(run, "node long, content binary")
 
     sizes = rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"))
 
@@ -169,7 +180,7 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def plausible(one: np.ndarray, two: np.ndarray) -> bool:
         return all(len(np.intersect1d(prefix(one, shared.value, k), prefix(two, shared.value, k), assume_unique=True)) for k in range(1, ORDERS))
 
-    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: np.frombuffer(raw, np.uint64), accept, "ngram", sift, plausible)
+    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, from_content, accept, "ngram", sift, plausible)
     labelled = rows.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node"))
     least = labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.max(F.col("doc_id").isNull()).alias("anonymous")).where("many > 1")
     out = labelled.join(least, "label", "left")
