@@ -93,10 +93,11 @@ def span_hashes(prefix: np.ndarray, base: int, start: np.ndarray, end: np.ndarra
     return mix64(raw + (end - start).astype(np.uint64) * np.uint64(WORD_BASE))
 
 
-def joined(texts: pa.Array, end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts, each followed by `end`, and the offsets of the texts."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    both = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(end, pa.large_string()))
+def joined(texts: pa.Array, end: str | bytes = "\n") -> tuple[np.ndarray, np.ndarray]:
+    """The (UTF-8) bytes of all texts, each followed by `end`, and the offsets of the texts."""
+    kind = pa.large_string() if isinstance(end, str) else pa.large_binary()
+    texts = pc.fill_null(texts.cast(kind), pa.scalar(end[:0], kind))
+    both = pc.binary_join_element_wise(texts, pa.scalar(end[:0], kind), pa.scalar(end, kind)) if end else texts
     if len(both) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(both.buffers()[1], np.int64)[both.offset : both.offset + len(both) + 1]

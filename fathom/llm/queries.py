@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, line_dedup, mixing, ngram_join, order_minhash, ordinal, packing, pii
+from . import jpeg, line_dedup, mixing, ngram_join, order_minhash, ordinal, packing, pii, substring_rlz, substring_suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(documents(spark, sf_dir), with_media=False)
 
 
+def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_rlz.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "lang", "n_chars", "text", "mix_copy", "mix_key")
 
@@ -39,6 +43,10 @@ def op7_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_suffix.remove_repeats(documents(spark, sf_dir), with_bytes=False)
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("kept_chars"))
@@ -49,7 +57,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op6_poisson_mix": op6_poisson_mix, "op7_pack_best_fit": op7_pack_best_fit, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_ngram_join": op10_ngram_join}
+    return {"op1_order_minhash": op1_order_minhash, "op2_ordinal_quality": op2_ordinal_quality, "op3_pii_bootstrap": op3_pii_bootstrap, "op4_jpeg_media": op4_jpeg_media, "op5_substring_rlz": op5_substring_rlz, "op6_poisson_mix": op6_poisson_mix, "op7_pack_best_fit": op7_pack_best_fit, "op8_suffix_array": op8_suffix_array, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
