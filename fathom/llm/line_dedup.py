@@ -148,3 +148,18 @@ def drop_lines(docs: DataFrame, gone: DataFrame, more: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_lines long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in more)
     return both.select("doc_id", "text", "gone", *more).mapInArrow(cut, schema)
+
+
+def rewrite(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """df with its own columns, texts without their removed lines and lengths to match.
+
+    Documents that lose all their lines go; null and empty texts stay as they are.
+    """
+    short_batches(df.sparkSession)
+    docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    more = [c for c in df.columns if c not in (id_col, text_col)]
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.struct(F.col(text_col).isNull().alias("null"), *more).alias("row"))
+    out = drop_lines(rows, duplicate_lines(docs), ["row"]).where("n_removed = 0 or kept rlike '[^ \\\\t\\\\r\\\\n]'")
+    value = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.when(~F.col("row.null"), F.col("kept"))}
+    value |= {c: F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(f"row.{c}")).cast(df.schema[c].dataType) if c == length_col else F.col(f"row.{c}") for c in more}
+    return out.select(*(value[c].alias(c) for c in df.columns))

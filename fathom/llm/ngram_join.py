@@ -92,30 +92,30 @@ def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, node, n_shingles of every document, and the sketch's levels (log2 of counts)."""
+    """doc_id, tie, node, n_shingles of every document (doc_id, text, tie), and the sketch's levels (log2 of counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["doc_id", "node", "n_shingles", "slice", "counts"], set()
+        names, seen = ["doc_id", "tie", "node", "n_shingles", "slice", "counts"], set()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             first, token, node = gram_sets(batch["text"])
             new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
             counts += np.bincount((token[np.repeat(new, np.diff(first))] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = np.minimum(counts, 2**31 - 1).astype("<u4").reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(3)), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist())
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "levels": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
 
-    both = materialize(docs.mapInArrow(run, "doc_id long, node long, n_shingles long, slice int, counts binary"), "ngram-nodes")
+    both = materialize(docs.mapInArrow(run, "doc_id long, tie long, node long, n_shingles long, slice int, counts binary"), "ngram-nodes")
     rows = both.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, levels binary").collect()
     levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
     for row in rows:
         levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
-    return both.where("slice is null").select("doc_id", "node", "n_shingles"), levels.ravel()
+    return both.where("slice is null").select("doc_id", "tie", "node", "n_shingles"), levels.ravel()
 
 
 def _once(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,16 +126,16 @@ def _once(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray
     return size[new], token[np.repeat(new, size)], node[new]
 
 
-def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links).
+def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tie (a hash of the text), n_shingles, first (the least (doc_id, tie) of its component).
 
     Texts are equal here if their sets are.  A text without words, or null, has n_shingles 0
-    and only itself in its component.  Rows that repeat a doc_id are rows of their own under
-    that id; a null id comes first in the order, as the component's null id.
+    and is alone in its component.  Rows of equal id and text are one document; a null id
+    comes first.
     """
     spark = df.sparkSession
     short_batches(spark)
-    docs = id_and_text(df, id_col, text_col)
+    docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     rows, levels = nodes_of(docs)
     shared = spark.sparkContext.broadcast(levels)
     bits = linking.bucket_bits(rows.count() * 100, 100_000)
@@ -181,8 +181,20 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return all(len(np.intersect1d(prefix(one, shared.value, k), prefix(two, shared.value, k), assume_unique=True)) for k in range(1, ORDERS))
 
     linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, from_content, accept, "ngram", sift, plausible)
-    labelled = rows.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.max(F.col("doc_id").isNull()).alias("anonymous")).where("many > 1")
-    out = labelled.join(least, "label", "left")
-    own = F.when(F.col("least").isNull() | (F.col("node") == 0), F.col("doc_id")).when(F.col("anonymous"), F.lit(None)).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    labelled = rows.join(linked, "node", "left").withColumn("label", F.when(F.col("node") != 0, F.coalesce("component", "node")))
+    least = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1 and label is not null")
+    own = F.coalesce("least", F.struct("doc_id", "tie")).alias("first")
+    return labelled.join(least, "label", "left").select("doc_id", "tie", "n_shingles", own)
+
+
+def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included); see label."""
+    return label(df, id_col, text_col).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that come first in their component."""
+    found = label(df, id_col, text_col)
+    gone = found.where(~F.struct("doc_id", "tie").eqNullSafe(F.col("first"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("gone_doc"), F.col("tie").alias("gone_tie")).distinct()
+    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("gone_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("gone_tie"))
+    return df.join(gone, own, "left_anti")
