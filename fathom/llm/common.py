@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ GRAM_BASE_2 = 0xA0761D6478BD642F
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows in an Arrow batch.  Texts can be long, so batches are short.
 BATCH_ROWS = 256
+#: Bytes of text that are worked on at a time, unless a single text has more.
+AT_ONCE = 1 << 20
+#: Powers of a base that a worker keeps between batches.
+KEPT_POWERS = 1 << 21
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -26,6 +30,17 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most AT_ONCE bytes of text, so that long texts don't pile up."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(size, done + AT_ONCE, side="right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(size[to - 1])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; also set as Spark's checkpoint folder.
 
@@ -62,17 +77,20 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, from a table that grows by doubling."""
-    return _powers(base, 1 << max(10, (max(n, 1) - 1).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64, from one table per base that grows by doubling."""
+    table = _POWERS.get(base)
+    if table is None or len(table) < n:
+        table = np.full(1 << max(10, (max(n, 1) - 1).bit_length()), base, dtype=np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        if len(table) > KEPT_POWERS:
+            return table[:n]
+        _POWERS[base] = table
+    return table[:n]
 
 
 def inverse(base: int) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, short_batches
+from .common import materialize, mix64, ragged, short_batches
 
 #: Nodes under a key up to which all pairs are candidates.
 SMALL = 12
@@ -46,8 +46,15 @@ def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
 
 def _meetings(table: pa.Table) -> pa.Table:
     """kind 0: a candidate pair (a < b); kind 1: node a meets leader b under a large key."""
-    data = np.unique(np.frombuffer(b"".join(table["data"].to_pylist()), ENTRY))
-    first = np.flatnonzero(np.concatenate([[True], data["key"][1:] != data["key"][:-1]]))
+    data = np.frombuffer(b"".join(table["data"].to_pylist()), ENTRY)
+    data = data[np.argsort(data["key"], kind="stable")]
+    twin = np.zeros(len(data), bool)
+    twin[1:] = data["key"][1:] == data["key"][:-1]
+    twin[:-1] |= twin[1:]
+    data = data[twin]  # most keys are of one node
+    data = data[np.lexsort((data["node"], data["key"]))]
+    data = data[np.concatenate([[True], (data["key"][1:] != data["key"][:-1]) | (data["node"][1:] != data["node"][:-1])])] if len(data) else data
+    first = np.flatnonzero(np.concatenate([[True], data["key"][1:] != data["key"][:-1]])) if len(data) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(data)))
     out = []
     for n in np.unique(size[(size >= 2) & (size <= SMALL)]):
@@ -92,7 +99,13 @@ def needed(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     out = np.zeros((slices, (1 << bits) // 8 // slices), np.uint8)
     for row in parts:
         out[row["slice"]] = np.frombuffer(row["data"], np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
+    return out.ravel()
+
+
+def passes(table: np.ndarray, node: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    """Which nodes the filter lets pass."""
+    place = filter_places(node, bits)
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def filter_places(node: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
@@ -141,9 +154,35 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     return labels.select("node", F.col("up").alias("component"))
 
 
-def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
-    """The pairs (a, b) that alike accepts; contents: node, content."""
-    one, two = contents.select(F.col("node").alias("a"), F.col("content").alias("x")), contents.select(F.col("node").alias("b"), F.col("content").alias("y"))
+def pair_overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Intersection size of sets[one[i]] and sets[two[i]] for up to 65536 pairs, by one sort (48 bits a token)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    token = np.concatenate(sets) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
+    begin, both = np.cumsum(size) - size, np.concatenate([one, two])
+    pair = np.tile(np.arange(len(one), dtype=np.uint64), 2)
+    key = np.sort(token[ragged(begin[both], size[both])] | np.repeat(pair, size[both]) << np.uint64(48))
+    return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(one))
+
+
+def only(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """node and a binary column of the rows whose node is among nodes, each node once."""
+    some = rows.sparkSession.sparkContext.broadcast(needed(nodes))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(some.value, batch["node"].to_numpy().view(np.uint64))))
+
+    return rows.select("node", F.col(column).alias("value")).mapInArrow(pick, "node long, value binary").dropDuplicates(["node"])
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes], list[bytes]], np.ndarray], column: str = "content") -> DataFrame:
+    """The pairs (a, b) that alike accepts; contents: node and the column that alike looks at."""
+    values = only(contents, ends(pairs), column)
+    one, two = values.select(F.col("node").alias("a"), F.col("value").alias("x")), values.select(F.col("node").alias("b"), F.col("value").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,13 +211,7 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, al
     meet = dealt.select("node", "family", "component", "block", F.explode(others).alias("other"))
     meet = meet.select("node", "component", "block", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
     meet = materialize(meet, f"{name}-meet")
-    some = spark.sparkContext.broadcast(needed(meet))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(some.value[filter_places(batch["node"].to_numpy().view(np.uint64))]))
-
-    full = meet.join(contents.mapInArrow(pick, "node long, content binary").dropDuplicates(["node"]), "node")
+    full = meet.join(only(contents, meet, "content").withColumnRenamed("value", "content"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         low = table["low"][0].as_py()
@@ -205,12 +238,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[
         yield i, np.bincount(owner[place], minlength=len(right))
 
 
-def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_set: Callable[[bytes], np.ndarray], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, plausible: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
+def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_sets: Callable[[list[bytes]], list[np.ndarray]], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None) -> DataFrame:
     """node, component for all nodes with a link.
 
-    contents_of(filter): node, content of the nodes that pass the filter, at least once each.
-    accept(common, size, size): which pairs link.  sift: a filter on candidate pairs by what
-    is known without contents; plausible: a filter on two sets before they are compared.
+    contents_of(filter): node, content (and sketch, for sieve) of the nodes that pass the
+    filter, at least once each.  accept(common, size, size): which pairs link.  sift: a filter
+    on candidate pairs by what is known without contents; sieve: one by two sketches, which
+    are much smaller than contents.  Neither may reject a pair that links.
     """
     spark = entries.sparkSession
     short_batches(spark)
@@ -218,29 +252,25 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = materialize(sift(pairs) if sift else pairs, f"{name}-pairs")
     members = met.where("kind = 1").select("a", "b")
-    want = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(members.select(F.col("a").alias("node")))
-    raw = materialize(contents_of(needed(want)), f"{name}-contents")
-    contents = raw.dropDuplicates(["node"])
+    raw = materialize(contents_of(needed(ends(pairs).union(members.select(F.col("a").alias("node"))))), f"{name}-contents")
+    if sieve:
+        pairs = materialize(verify(pairs, raw, sieve, "sketch"), f"{name}-sieved")
 
     def alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        known: dict[bytes, np.ndarray] = {}
-        out = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            for z in (x, y):
-                if z not in known:
-                    known[z] = to_set(z)
-            p, q = known[x], known[y]
-            if plausible is None or plausible(p, q):
-                out[i] = accept(np.array([len(np.intersect1d(p, q, assume_unique=True))]), np.array([len(p)]), np.array([len(q)]))[0]
-        return out
+        number: dict[bytes, int] = {}
+        one, two = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (left, right))
+        sets = to_sets(list(number))
+        size = np.array([len(s) for s in sets], np.int64)
+        return np.array(accept(pair_overlaps(sets, one, two), size[one], size[two]))
 
     def alike_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
-        p, q = [to_set(x) for x in left], [to_set(y) for y in right]
+        sets = to_sets(left + right)
+        p, q = sets[: len(left)], sets[len(left) :]
         size = np.array([len(s) for s in q])
         for i, common in overlaps(p, q):
             yield from ((i, int(j)) for j in np.flatnonzero(accept(common, np.full(len(q), len(p[i])), size)))
 
-    edges = materialize(verify(pairs, contents, alike), f"{name}-links")
+    edges = materialize(verify(pairs, raw, alike), f"{name}-links")
     first = connected(edges, f"{name}-first")
     if members.isEmpty():
         return first

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import GRAM_BASE_2, id_and_text, mix64, prefix_sums, ragged, span_hashes
-from .linking import filter_places, needed
+from .linking import needed, passes
 
 ENTRY = np.dtype([("core", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u2"), ("many", "u1")])
 COVER = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("length", "<u4")])
@@ -46,13 +46,34 @@ def keyed_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(2**32 - 1)).alias("tie"), "doc_id", "text")
 
 
+def _grouped(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries whose core is theirs alone, the others sorted by core, context and place, each place once).
+
+    Of entries of one place the `many` flags are joined.
+    """
+    entry = entry[np.argsort(entry["core"], kind="stable")]
+    twin = np.zeros(len(entry), bool)
+    twin[1:] = entry["core"][1:] == entry["core"][:-1]
+    twin[:-1] |= twin[1:]
+    alone, rest = entry[~twin], entry[twin]
+    rest = rest[np.lexsort([rest[c] for c in ("start", "tie", "doc", "context", "core")])]
+    if len(rest):
+        new = np.ones(len(rest), bool)
+        new[1:] = np.logical_or.reduce([rest[c][1:] != rest[c][:-1] for c in ("core", "context", "doc", "tie", "start")])
+        many = np.maximum.reduceat(rest["many"], np.flatnonzero(new))
+        rest = rest[new]
+        rest["many"] = many
+    return alone, rest
+
+
 def settle_here(entry: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
     """Entries of one task, one for each context, and the covers already known from the rest."""
-    entry = np.unique(entry)
-    same = (entry["core"][1:] == entry["core"][:-1]) & (entry["context"][1:] == entry["context"][:-1])
-    later = np.concatenate([[False], same]) if len(entry) else np.zeros(0, bool)
-    entry["many"][:-1] |= same.astype(np.uint8)
-    return entry[~later], covers(entry[later], scale)
+    alone, rest = _grouped(entry)
+    same = (rest["core"][1:] == rest["core"][:-1]) & (rest["context"][1:] == rest["context"][:-1])
+    later = np.concatenate([[False], same]) if len(rest) else np.zeros(0, bool)
+    rest["many"][:-1] |= same.astype(np.uint8)
+    left = np.concatenate([alone, rest[~later]])
+    return left[np.argsort(left["core"], kind="stable")], covers(rest[later], scale)
 
 
 def covers(entry: np.ndarray, scale: Scale) -> np.ndarray:
@@ -102,13 +123,10 @@ def settle(table: pa.Table, scale: Scale, go_on: bool) -> pa.Table:
     data = b"".join(table["data"].to_pylist())
     if table["bucket"][0].as_py() < 0:
         return _found(np.frombuffer(data, COVER), np.zeros(0, ENTRY), np.zeros(0, bool))
-    entry = np.sort(np.frombuffer(data, ENTRY), order=["core", "context", "doc", "tie", "start"])
-    place = ["core", "context", "doc", "tie", "start"]
-    new = np.ones(len(entry), bool)
-    new[1:] = np.logical_or.reduce([entry[c][1:] != entry[c][:-1] for c in place])
-    many = np.maximum.reduceat(entry["many"], np.flatnonzero(new))
-    entry = entry[new]
-    entry["many"] = many
+    alone, entry = _grouped(np.frombuffer(data, ENTRY))
+    sure = alone[:0] if scale.earlier else alone[alone["many"] > 0]
+    if not len(entry):
+        return _found(covers(sure, scale), entry, np.zeros(0, bool))
     core = np.concatenate([[True], entry["core"][1:] != entry["core"][:-1]])
     context = core | np.concatenate([[True], entry["context"][1:] != entry["context"][:-1]])
     if scale.earlier:
@@ -119,7 +137,7 @@ def settle(table: pa.Table, scale: Scale, go_on: bool) -> pa.Table:
         gone = entry[repeated[np.cumsum(context) - 1]]
     distinct = np.bincount(np.cumsum(core) - 1, context)[np.cumsum(core) - 1]
     still = context & (distinct > 1) if go_on else np.zeros(len(entry), bool)
-    return _found(covers(gone, scale), entry[still], distinct[still] > HOT)
+    return _found(covers(np.concatenate([sure, gone]), scale), entry[still], distinct[still] > HOT)
 
 
 def settled(sent_rows: DataFrame, scale: Scale, go_on: bool) -> DataFrame:
@@ -156,7 +174,7 @@ def passing(docs: DataFrame, keys: DataFrame, inside: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = table.value[filter_places(batch["node"].to_numpy().view(np.uint64))]
+            hit = passes(table.value, batch["node"].to_numpy().view(np.uint64))
             yield batch.filter(pa.array(hit if inside else ~hit)).drop_columns(["node"])
 
     return docs.withColumn("node", node).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import GRAM_BASE, Words, materialize, short_batches
+from .common import GRAM_BASE, Words, materialize, short_batches, small
 from .linking import bucket_bits
 
 WINDOW, GRAM = 20, 6
@@ -39,7 +39,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in small(batches):
                 words = Words(batch["text"])
                 yield repeats.chunk_entries(words.hash, GRAM_BASE, words.first, batch["doc"].to_numpy(), batch["tie"].to_numpy(), scale)
 
@@ -47,7 +47,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in small(batches):
                 words = Words(batch["text"])
                 spans = batch["open"]
                 text = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())

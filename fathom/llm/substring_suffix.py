@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import GRAM_BASE, joined, materialize, ragged, short_batches
+from .common import GRAM_BASE, joined, materialize, ragged, short_batches, small
 from .linking import bucket_bits
 from .suffix_sort import deep_shallow
 
@@ -66,14 +66,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in small(batches):
                 _, unit, first = _bytes(batch["text"])
                 yield repeats.chunk_entries(unit, GRAM_BASE, first, batch["doc"].to_numpy(), batch["tie"].to_numpy(), scale)
 
         yield from repeats.send_all(parts(), scale, bits)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             buf, _, first = _bytes(batch["text"])
             spans = batch["open"]
             text = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())
@@ -85,7 +85,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in small(batches):
                 _, unit, first = _bytes(batch["text"])
                 spans = batch["open"]
                 text = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())
