@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import WORD_BASE, id_and_text, materialize, mix64, prefix_sums, ragged, short_batches, span_hashes
+from .common import WORD_BASE, id_and_text, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
 
 SHINGLE, BANDS, ROWS = 8, 16, 4
 SHARE = (80, 100)
+#: Shingles that are hashed at a time.
+CACHED = 1 << 15
 _ODD = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -54,9 +56,15 @@ def bands(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Band keys [line, BANDS] from the lines' shingle hashes."""
     short = (shingle >> np.uint64(32)).astype(np.uint32)
     least = np.empty((len(_ODD), len(first)), np.uint32)
-    product = np.empty_like(short)
-    for i, odd in enumerate(_ODD):
-        least[i] = np.minimum.reduceat(np.multiply(short, odd, out=product), first)
+    edge = np.append(first, len(short))
+    at = 0
+    while at < len(first):  # as many lines at a time as fit in a core's cache
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + CACHED, side="right")) - 1)
+        part, begin = short[edge[at] : edge[to]], first[at:to] - edge[at]
+        product = np.empty_like(part)
+        for i, odd in enumerate(_ODD):
+            least[i, at:to] = np.minimum.reduceat(np.multiply(part, odd, out=product), begin)
+        at = to
     out = np.zeros((BANDS, len(first)), np.uint64)
     for band in range(BANDS):
         key = np.full(len(first), band + 1, np.uint64)
@@ -66,9 +74,18 @@ def bands(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def line_set(raw: bytes) -> np.ndarray:
-    lines = Lines([raw.decode("utf-8", "surrogatepass")])
-    return np.unique(lines.shingles(np.arange(len(lines.start)))[0])
+def line_sets(raw: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line, by their high 48 bits."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(raw), 1 << 15):
+        lines = Lines([x.decode("utf-8", "surrogatepass") for x in raw[at : at + (1 << 15)]])
+        shingle, first = lines.shingles(np.arange(len(lines.start)))
+        count = np.diff(np.append(first, len(shingle)))
+        key = np.sort(shingle >> np.uint64(16) | np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(48))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        edge = np.searchsorted(key >> np.uint64(48), np.arange(1, len(count), dtype=np.uint64))
+        out += np.split(key << np.uint64(16), edge)
+    return out
 
 
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -80,7 +97,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lines = Lines(batch["text"].to_pylist())
             keep = np.flatnonzero(lines.node)
             of = pa.array(lines.of[keep])
@@ -91,7 +108,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             own = Lines(batch["text"].to_pylist())
             new = np.array([i for i, x in enumerate(own.node.tolist()) if x and x not in seen and not seen.add(x)], np.int64)
             if len(new):
@@ -102,16 +119,16 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in small(batches):
                 own = Lines(batch["text"].to_pylist())
-                hit = np.flatnonzero((own.node != 0) & some.value[linking.filter_places(own.node)])
+                hit = np.flatnonzero((own.node != 0) & linking.passes(some.value, own.node))
                 hit = np.array([i for i in hit.tolist() if (x := int(own.node[i])) not in seen and not seen.add(x)], np.int64)
                 raw = [own.code[own.start[i] : own.end[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(own.node[hit].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "content"])
 
         return docs.mapInArrow(run, "node long, content binary")
 
-    linked = linking.components(docs.select("text").mapInArrow(enter, linking.ENTRIES), contents_of, line_set, accept, "line")
+    linked = linking.components(docs.select("text").mapInArrow(enter, linking.ENTRIES), contents_of, line_sets, accept, "line")
     place = F.struct("doc_id", "tie", "line")
     labelled = lines.join(linked, "node", "left").select(place.alias("place"), F.coalesce("component", "node").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "kept")

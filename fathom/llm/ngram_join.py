@@ -4,7 +4,9 @@ If two sets reach the threshold t, then under *any* order of all tokens the firs
 n - ceil(t n) + 1 tokens of each share one.  Candidates come from the prefixes under a first
 order (rare tokens first, from a counting sketch over all documents, ties by a hash); before
 a pair is verified exactly it must also share a prefix token under each further order (same
-rarity, other ties).  Sizes must agree within t as well.
+rarity, other ties).  Sizes must agree within t as well.  The further filters work on bit
+sketches, an eighth of a set's size: prefixes under the other orders, and all tokens, whose
+bits bound from below how many tokens the sets do not share.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import Words, id_and_text, materialize, mix64, short_batches
+from .common import Words, id_and_text, materialize, mix64, short_batches, small
 
 WORDS = 5
 #: The threshold as a fraction of integers, so that no rounding decides a link.
@@ -25,6 +27,8 @@ SHARE = (80, 100)
 ORDERS = 3
 #: Counters of the rarity sketch: a fixed 1 MB, whatever the size of the corpus.
 SKETCH_BITS, SLICES = 20, 64
+#: Bits of a document's sketch: for all tokens, and for the prefix under each further order.
+ALL_BITS, PREFIX_BITS = 4096, 512
 
 
 def gram_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +91,29 @@ def from_content(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def sketch(token: np.ndarray, levels: np.ndarray) -> bytes:
+    """Size, bits of all tokens, bits of the prefixes under the further orders."""
+    bits = np.zeros(ALL_BITS + (ORDERS - 1) * PREFIX_BITS, np.uint8)
+    bits[(token >> np.uint64(24)).astype(np.int64) % ALL_BITS] = 1
+    for order in range(1, ORDERS):
+        some = prefix(token, levels, order)
+        bits[ALL_BITS + (order - 1) * PREFIX_BITS + (some >> np.uint64(24)).astype(np.int64) % PREFIX_BITS] = 1
+    return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes()
+
+
+def sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Pairs that may link: prefixes meet under every order, and enough tokens may be common."""
+    x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (left, right))
+    n, m = (np.ascontiguousarray(z[:, :8]).view("<i8").ravel() for z in (x, y))
+    x, y = x[:, 8:], y[:, 8:]
+    only_x, only_y = (np.bitwise_count(p & ~q).sum(1, dtype=np.int64) for p, q in ((x[:, : ALL_BITS // 8], y[:, : ALL_BITS // 8]), (y[:, : ALL_BITS // 8], x[:, : ALL_BITS // 8])))
+    out = accept(np.minimum(n - only_x, m - only_y), n, m)
+    for order in range(ORDERS - 1):
+        at = ALL_BITS // 8 + order * PREFIX_BITS // 8
+        out &= (x[:, at : at + PREFIX_BITS // 8] & y[:, at : at + PREFIX_BITS // 8]).any(axis=1)
+    return out
+
+
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (SHARE[1] * common >= SHARE[0] * (one + two - common)) & (common > 0)
 
@@ -97,7 +124,7 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = ["doc_id", "tie", "node", "n_shingles", "slice", "counts"], set()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             first, token, node = gram_sets(batch["text"])
             new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
             counts += np.bincount((token[np.repeat(new, np.diff(first))] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -143,7 +170,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, nodes, held = [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             size, token, node = _once(batch, seen)
             of = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((rarity(token, shared.value, 0), of))
@@ -163,13 +190,13 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in small(batches):
                 size, token, node = _once(batch, seen)
                 end = np.cumsum(size)
-                hit = np.flatnonzero(some.value[linking.filter_places(node)])
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), pa.array([to_content(token[end[i] - size[i] : end[i]]) for i in hit], pa.binary())], names=["node", "content"])
+                hit = np.flatnonzero(linking.passes(some.value, node))
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), pa.array([to_content(token[end[i] - size[i] : end[i]]) for i in hit], pa.binary()), pa.array([sketch(token[end[i] - size[i] : end[i]], shared.value) for i in hit], pa.binary())], names=["node", "content", "sketch"])
 
-        return docs.mapInArrow(run, "node long, content binary")
+        return docs.mapInArrow(run, "node long, content binary, sketch binary")
 
     sizes = rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"))
 
@@ -177,10 +204,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         one, two = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
         return pairs.join(one, "a").join(two, "b").where(f"{SHARE[1]} * least(n_a, n_b) >= {SHARE[0]} * greatest(n_a, n_b)").select("a", "b")
 
-    def plausible(one: np.ndarray, two: np.ndarray) -> bool:
-        return all(len(np.intersect1d(prefix(one, shared.value, k), prefix(two, shared.value, k), assume_unique=True)) for k in range(1, ORDERS))
-
-    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, from_content, accept, "ngram", sift, plausible)
+    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, sieve)
     labelled = rows.join(linked, "node", "left").withColumn("label", F.when(F.col("node") != 0, F.coalesce("component", "node")))
     least = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1 and label is not null")
     own = F.coalesce("least", F.struct("doc_id", "tie")).alias("first")

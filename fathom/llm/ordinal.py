@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_and_text, mix64, short_batches
+from .common import Words, id_and_text, mix64, short_batches, small
 
 BITS = 18
 GRADES = 3
@@ -136,7 +136,7 @@ def train(df: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     rows = id_and_text(df, id_col, text_col).join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             first, feature, value = features(batch["text"])
             spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array([feature[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["doc_id", "grade", "feature", "value"])
@@ -162,7 +162,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = shared.value.scores(*features(batch["text"]))
             tails = shared.value.tails(found)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found), pa.array(tails[:, -1]), pa.array(tails[:, 0]), pa.array(tails.sum(1)), pa.array(tails[:, -1] >= keep_at)], names=["doc_id", "score", "p_good", "p_not_toxic", "expected_grade", "keep"])
@@ -177,7 +177,7 @@ def select(df: DataFrame, model: Model, text_col: str = "text", keep_at: float =
     shared, at = spark.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text_col):
             tails = shared.value.tails(shared.value.scores(*features(batch.column(at))))
             yield batch.filter(pa.array(tails[:, -1] >= keep_at))
 
