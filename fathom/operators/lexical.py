@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -13,43 +13,57 @@ from ..functions.text import tokens
 
 @dataclass
 class Index:
-    """docs: id, toks, dl.  terms: term, df.  stats: one row of n, avgdl and avg_idf."""
+    """docs: id, toks, dl; and the corpus statistics, which one pass over the documents has computed."""
 
     docs: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    n: int
+    avgdl: float
+    n_terms: int
+    avg_idf: float
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df."""
+        return self.docs.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def idf(self, df: Column) -> Column:
+        """A negative idf becomes a quarter of the vocabulary's mean idf."""
+        raw = _raw_idf(self.n, df)
+        return F.when(raw < 0, F.lit(0.25 * self.avg_idf)).otherwise(raw)
+
+
+def _raw_idf(n: int, df: Column) -> Column:
+    return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
 def build(df: DataFrame, id_col: str, text_col: str = "text") -> Index:
+    """Tokenize lazily; compute size, mean length and mean idf at once (the vocabulary is never collected)."""
     docs = df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")).withColumn("dl", F.size("toks"))
-    terms = docs.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = F.log(size.select("n").scalar() - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = size.withColumn("avg_idf", terms.agg(F.avg(raw)).scalar())
-    return Index(docs, terms, stats)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    index = Index(docs, size["n"], size["avgdl"] or 1.0, 0, 0.0)
+    found = index.terms.agg(F.count(F.lit(1)).alias("n"), F.avg(_raw_idf(index.n, F.col("df"))).alias("mean")).first()
+    index.n_terms, index.avg_idf = found["n"], found["mean"] or 0.0
+    return index
 
 
-def term_idf(index: Index, terms: DataFrame | None = None) -> DataFrame:
-    """term, df, idf.  A negative idf becomes a quarter of the vocabulary's mean idf."""
-    raw = F.log(index.stats.select("n").scalar() - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = 0.25 * index.stats.select("avg_idf").scalar()
-    source = index.terms if terms is None else index.terms.join(terms, "term", "left_semi")
-    return source.select("term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf"))
+def term_idf(index: Index) -> DataFrame:
+    """term, df, idf of the whole vocabulary."""
+    return index.terms.select("term", "df", index.idf(F.col("df")).alias("idf"))
 
 
 def scores(index: Index, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """qid, id, score of the documents that share a term with a query (qid, query).
 
     A query's repeated token counts each time; an unknown term adds nothing.  Only postings of
-    query terms are ever formed: documents' tokens are filtered before they are counted.
+    query terms are formed, and document frequencies are counted from them.
     """
     asked = queries.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    known = term_idf(index, vocabulary)
     small = queries.limit(settings.broadcast_queries + 1).count() <= settings.broadcast_queries
     mark = F.broadcast if small else lambda d: d
-    postings = index.docs.select("id", "dl", F.explode("toks").alias("term")).join(mark(vocabulary), "term", "left_semi").groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / index.stats.select("avgdl").scalar()))
+    words = index.docs.select("id", "dl", F.explode("toks").alias("term")).join(mark(asked.select("term").distinct()), "term", "left_semi")
+    postings = words.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    known = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", index.idf(F.col("df")).alias("idf"))
+    weight = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.lit(index.avgdl)))
     joined = postings.join(mark(asked.join(known, "term")), "term")
     return joined.groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("score"))
 
@@ -60,22 +74,25 @@ def ranked(scored: DataFrame, n: int, by: str = "qid") -> DataFrame:
     return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def top_n(index: Index, queries: DataFrame, n: int, settings: Settings = DEFAULTS, allowed: DataFrame | None = None) -> DataFrame:
+def top_n(index: Index, queries: DataFrame, n: int, settings: Settings = DEFAULTS, allowed: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """qid, id, score, rank: always n rows per query as long as there are n documents.
 
     Documents without any query term score 0 and fill up, by id.  allowed (qid, id) restricts
-    the documents of a query; statistics stay those of the whole corpus.
+    the documents of each query, within (id) those of all; statistics stay those of the whole
+    corpus.
     """
     found = scores(index, queries, settings)
+    if within is not None:
+        found = found.join(within.select("id"), "id", "left_semi").select("qid", "id", "score")
     if allowed is not None:
         found = found.join(allowed, ["qid", "id"], "left_semi")
         rest = allowed.join(found, ["qid", "id"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where(F.col("r") <= n).drop("r")
         return ranked(found.unionByName(rest.withColumn("score", F.lit(0.0))), n)
-    ahead = F.count(F.when(F.col("score") >= 0, 1))
-    short = queries.select("qid").join(found.groupBy("qid").agg(ahead.alias("ahead"), F.count(F.lit(1)).alias("seen")), "qid", "left").where(F.coalesce("ahead", F.lit(0)) < n)
-    need = short.agg(F.max(F.coalesce("seen", F.lit(0)))).first()[0]
-    if need is None:
-        return ranked(found, n)
-    pool = index.docs.select("id").orderBy("id").limit(n + need)  # holds n documents that any short query has not seen
-    fill = short.select("qid", F.lit(1).alias("one")).join(pool.withColumn("one", F.lit(1)), "one").drop("one").join(found, ["qid", "id"], "left_anti")
+    pool_size = 2 * n
+    if index.avg_idf < 0:  # scores can be negative, so a query may have seen many documents and still need others
+        ahead = F.count(F.when(F.col("score") >= 0, 1))
+        seen = found.groupBy("qid").agg(ahead.alias("ahead"), F.count(F.lit(1)).alias("seen")).where(F.col("ahead") < n)
+        pool_size = n + max(n, seen.agg(F.max("seen")).first()[0] or 0)
+    pool = (index.docs if within is None else within).select("id").orderBy("id").limit(pool_size)  # holds n documents that a query short of hits has not seen
+    fill = queries.select("qid", F.lit(1).alias("one")).join(F.broadcast(pool.withColumn("one", F.lit(1))), "one").drop("one").join(found, ["qid", "id"], "left_anti")
     return ranked(found.unionByName(fill.withColumn("score", F.lit(0.0))), n)

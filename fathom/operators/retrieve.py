@@ -28,21 +28,15 @@ def with_entities(queries: DataFrame, aliases: dict[str, str] | None = None, yea
     return queries.withColumn("tickers", entities.companies(F.col("query"), aliases)).withColumn("years", entities.years(F.col("query"), year_pattern))
 
 
-def allowed_pairs(queries: DataFrame, collection: Collection) -> DataFrame:
-    """(qid, id) that a question's entities allow, by equi joins per kind of restriction.
-
-    Questions name tickers or not, one year or not; each of the four kinds joins on just the
-    columns it restricts.  Only questions without any entity keep all chunks.
-    """
-    meta = collection.chunks.select("id", F.col(collection.ticker).alias("ticker"), F.col(collection.year).cast("int").alias("year"))
-    named, dated = F.size("tickers") > 0, F.size("years") == 1
-    asked = queries.select("qid", "tickers", F.when(dated, F.get("years", F.lit(0))).alias("year"), named.alias("named"), dated.alias("dated"))
-    by_ticker = asked.where("named").withColumn("ticker", F.explode("tickers"))
-    both = by_ticker.where("dated").join(meta, ["ticker", "year"])
-    ticker = by_ticker.where("not dated").drop("year").join(meta, "ticker")
-    year = asked.where("not named and dated").join(meta.drop("ticker"), "year")
-    free = asked.where("not named and not dated").withColumn("one", F.lit(1)).join(meta.withColumn("one", F.lit(1)).drop("year", "ticker"), "one")
-    return both.select("qid", "id").union(ticker.select("qid", "id")).union(year.select("qid", "id")).union(free.select("qid", "id"))
+def allowed_pairs(queries: DataFrame, chunks: DataFrame, ticker: str = "ticker", year: str = "fiscal_year") -> DataFrame:
+    """(qid, id) that the entities of restricted questions allow, by equi joins per kind of restriction."""
+    meta = chunks.select("id", F.col(ticker).alias("ticker"), F.col(year).cast("int").alias("year"))
+    asked = queries.select("qid", "tickers", F.when(F.size("years") == 1, F.get("years", F.lit(0))).alias("year"))
+    named = asked.where("size(tickers) > 0").withColumn("ticker", F.explode("tickers"))
+    both = named.where("year is not null").join(meta, ["ticker", "year"])
+    by_ticker = named.where("year is null").drop("year").join(meta, "ticker")
+    by_year = asked.where("size(tickers) = 0 and year is not null").join(meta, "year")
+    return both.select("qid", "id").union(by_ticker.select("qid", "id")).union(by_year.select("qid", "id"))
 
 
 def retrieve(queries: DataFrame, collection: Collection, config: str, top_k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS, score: Callable[[DataFrame], DataFrame] = rerank.lexical_scores, where: dict | None = None) -> DataFrame:
@@ -54,25 +48,28 @@ def retrieve(queries: DataFrame, collection: Collection, config: str, top_k: int
     """
     if config not in ALL_CONFIGS:
         raise ValueError(f"unknown config {config!r}; known: {', '.join(ALL_CONFIGS)}")
-    filtered = config.endswith("_filter")
     pool = settings.candidate_pool if "rerank" in config else max(4 * top_k, settings.candidate_pool)
-    chunks = predicates.apply(collection.chunks, where)
-    vectors = collection.vectors if where is None else collection.vectors.join(chunks.select("id"), "id", "left_semi")
-    allowed = None
-    if filtered or where is not None:
-        part = Collection(chunks, vectors, collection.index, collection.ticker, collection.year)
-        open_to_all = queries.withColumn("tickers", F.array().cast("array<string>")).withColumn("years", F.array().cast("array<int>"))
-        allowed = allowed_pairs(queries if filtered else open_to_all, part)
     n = top_k if config == "dense" else pool
-    if filtered:
-        near = allowed.join(vectors, "id").join(queries.select("qid", "vector"), "qid").select("qid", "id", dense.cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null")
-        by_vector = lexical.ranked(near, n)
-    else:
-        by_vector = dense.top_n(vectors, queries, n, settings=settings)
+    chunks, vectors, within = collection.chunks, collection.vectors, None
+    if where is not None:
+        chunks = predicates.apply(chunks, where)
+        within = chunks.select("id")
+        vectors = vectors.join(within, "id", "left_semi")
+    free, bound = queries, None
+    if config.endswith("_filter"):  # questions without entities search everything, the others what they allow
+        restricted = (F.size("tickers") > 0) | (F.size("years") == 1)
+        free, bound = queries.where(~restricted), queries.where(restricted)
+        allowed = allowed_pairs(bound, chunks, collection.ticker, collection.year)
+    by_vector = dense.top_n(vectors, free, n, settings=settings)
+    if bound is not None:
+        near = allowed.join(vectors, "id").join(bound.select("qid", "vector"), "qid").select("qid", "id", dense.cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null")
+        by_vector = by_vector.unionByName(lexical.ranked(near, n))
     if config == "dense":
         found = by_vector.select("qid", "id", "score", "rank")
     else:
-        by_term = lexical.top_n(collection.index, queries, pool, settings, allowed)
+        by_term = lexical.top_n(collection.index, free, pool, settings, within=within)
+        if bound is not None:
+            by_term = by_term.unionByName(lexical.top_n(collection.index, bound, pool, settings, allowed))
         fused = fusion.top_k(fusion.fuse([by_vector, by_term], settings.rrf_k), 2, pool if "rerank" in config else top_k)
         found = fused.select("qid", "id", "score", "rank")
     if "rerank" in config:

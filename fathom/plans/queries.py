@@ -35,7 +35,7 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir)
-    return found.stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"), found.terms.agg(F.count(F.lit(1))).scalar().alias("n_terms"))
+    return spark.createDataFrame([(found.n, round(found.avgdl, 6), round(found.avg_idf, 6), found.n_terms)], "n long, avgdl double, avg_idf double, n_terms long")
 
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
