@@ -125,7 +125,7 @@ def with_next(docs: DataFrame, docs_in_run: int) -> DataFrame:
     their heads, one row a run, are looked up across runs.
     """
     spark = docs.sparkSession
-    runs = text_blocks(docs, docs_in_run)
+    runs = min(text_blocks(docs, docs_in_run), MOST_RUNS)
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     cuts = sorted({int(c) for c in docs.select(key.cast("double").alias("d")).approxQuantile("d", [i / runs for i in range(1, runs)], 0.2 / runs)}) if runs > 1 else []
     edges = np.array(cuts, np.int64)
@@ -144,8 +144,8 @@ def with_next(docs: DataFrame, docs_in_run: int) -> DataFrame:
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Documents in a run.
-RUN_DOCS = 1024
+#: Documents in a run, and the most runs (their heads pass through the driver; longer runs are streamed).
+RUN_DOCS, MOST_RUNS = 1024, 65_536
 
 
 def compare_with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_docs: int = RUN_DOCS) -> DataFrame:
