@@ -108,6 +108,15 @@ def _html() -> str:
     return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+_PARTS = """body AS (SELECT doc_id, replace(replace(text, 'item', 'thing'), 'Item', 'Thing') AS b FROM documents),
+parts AS (SELECT doc_id, substr(b, 1, length(b) // 3) AS p0, substr(b, length(b) // 3 + 1, length(b) // 3) AS p1, substr(b, length(b) * 2 // 3 + 1, length(b) // 3) AS p2 FROM body)"""
+_SECTIONS = f"""{_PARTS}, chosen AS (
+SELECT doc_id, 'item_1' AS section_id, 'Business overview' AS section_title, 2 AS place, chr(10) || 'Item 1. Business overview.' || chr(10) || p0 AS raw FROM parts
+UNION ALL SELECT doc_id, 'item_1a', 'Risks', 3, chr(10) || 'ITEM 1A - Risks' || chr(10) || p1 FROM parts WHERE length(p1) > 5
+UNION ALL SELECT doc_id, 'item_1a', 'Risk Factors', 0, chr(10) || 'Item 1A. Risk Factors' FROM parts WHERE length(p1) <= 5
+UNION ALL SELECT doc_id, 'item_7', 'Discussion of results', 4, chr(10) || 'Item 7: Discussion of results' || chr(10) || p2 FROM parts WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'item_7', 'Discussion', 1, chr(10) || 'Item 7. Discussion' FROM parts WHERE doc_id % 2 = 1),
+sections AS (SELECT doc_id, section_id, section_title, place, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM chosen)"""
 _BLOCK = "'[' || b.rank || '] (' || m.ticker || ' FY' || m.fiscal_year || ', ' || m.section_id || '):' || chr(10) || regexp_replace(m.text, '^\\s+|\\s+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -127,9 +136,13 @@ SELECT * FROM (SELECT qid, id AS doc_id, score, row_number() OVER (PARTITION BY
 {_ranked(f"SELECT q.id AS qid, d.id AS id, {_COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM q, d", 5, "top")} SELECT qid, id AS doc_id, score, rank FROM top""",
     "entity_parse": """SELECT o_orderkey, ['AAPL', 'GS', 'GOOGL,META', 'META', ''][(o_orderkey % 5)::INTEGER + 1] AS tickers, CASE WHEN 2021 + o_orderkey % 4 BETWEEN 2022 AND 2024 THEN (2021 + o_orderkey % 4)::VARCHAR ELSE '' END AS years FROM orders""",
     "where_eval": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE (o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '2-HIGH')) AND o_custkey BETWEEN 0 AND 99",
+    "section_scan": f"""WITH {_PARTS} SELECT doc_id, unnest(['1', '1a', '7', '1', '1a']) AS item, unnest(['Business', 'Risk Factors', 'Discussion', 'Business overview', 'Risks']) AS title, unnest([8, 25, 47, 66, 94 + length(p0)])::BIGINT AS pos FROM parts
+UNION ALL SELECT doc_id, '7', 'Discussion of results', 111 + length(p0) + length(p1) FROM parts WHERE doc_id % 2 = 0""",
+    "section_extract": f"""WITH {_SECTIONS} SELECT doc_id, section_id, section_title, md5(text) AS text_md5, length(text)::INTEGER AS char_count, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INTEGER AS "order" FROM sections""",
+    "filing_rollup": f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS ticker, count(*)::INTEGER AS n_sections, sum(length(text))::BIGINT AS total_chars, 3 AS n_warnings FROM sections GROUP BY doc_id",
     "section_best": """SELECT user_id, item, pos, body_len, (row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1)::INTEGER AS "order" FROM (
   SELECT user_id, event_type AS item, event_id AS pos, floor(value)::BIGINT AS body_len, row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(value) DESC, event_id) AS rn FROM events) WHERE rn = 1""",
-    "section_warnings": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'item_7a not detected;item_8 not detected;item_9a not detected' ELSE 'item_7a not detected;item_8 not detected;item_9a not detected' END AS warnings FROM documents",
+    "section_warnings": "SELECT doc_id, 'item_7a not detected;item_8 not detected;item_9a not detected' AS warnings FROM documents",
     "html_to_text": f"SELECT page_id, {_html()} AS text FROM pages",
     "chunk_invariants": "SELECT 0::BIGINT AS too_long, 0::BIGINT AS too_short, 0::BIGINT AS outside, 0::BIGINT AS gaps",
     "refusal_flags": f"WITH {_ANSWERS} SELECT conv_id, turn, {_IS_REFUSAL} AS is_refusal, {_VIOLATION} AS append_violation FROM answers",
