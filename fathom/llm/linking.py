@@ -82,20 +82,30 @@ def meetings(entries: DataFrame) -> DataFrame:
 def needed(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bit filter of fixed size over column node: it never misses a node, but may let others pass."""
     slices = 1 << 6
+    size = (1 << bits) // slices
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, bool)
         for batch in batches:
             table[filter_places(batch["node"].to_numpy().view(np.uint64), bits)] = True
-        packed = np.packbits(table).reshape(slices, -1)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["slice", "data"])
+        place = np.flatnonzero(table)
+        edge = np.searchsorted(place, np.arange(slices + 1) * size)
+        some = np.flatnonzero(np.diff(edge))
+        # few marks of a slice go as places, many as bits
+        data = [(place[edge[i] : edge[i + 1]] - i * size).astype("<u4").tobytes() if 4 * (edge[i + 1] - edge[i]) < size // 8 else np.packbits(table[i * size : (i + 1) * size]).tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
-        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["data"].to_pylist()])
-        return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "data": pa.array([whole.tobytes()], pa.binary())})
-
-    parts = nodes.select("node").mapInArrow(mark, "slice int, data binary").groupBy("slice").applyInArrow(merge, "slice int, data binary").collect()
+        whole = np.zeros(size, bool)
+        for raw in table["data"].to_pylist():
+            if len(raw) == size // 8:
+                whole |= np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
+            else:
+                whole[np.frombuffer(raw, "<u4")] = True
+        return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "data": pa.array([np.packbits(whole).tobytes()], pa.binary())})
+
+    # distinct first: what is sent is bounded by the nodes, not by the tasks that name them
+    parts = nodes.select("node").distinct().mapInArrow(mark, "slice int, data binary").groupBy("slice").applyInArrow(merge, "slice int, data binary").collect()
     out = np.zeros((slices, (1 << bits) // 8 // slices), np.uint8)
     for row in parts:
         out[row["slice"]] = np.frombuffer(row["data"], np.uint8)
@@ -165,7 +175,7 @@ def pair_overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> n
 
 
 def only(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """node and a binary column of the rows whose node is among nodes, each node once."""
+    """node and a binary value of the rows whose node is among nodes, each node once."""
     some = rows.sparkSession.sparkContext.broadcast(needed(nodes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +202,32 @@ def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes],
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, alike_sets: Callable[[list[bytes], list[bytes]], Iterator[tuple[int, int]]], name: str) -> DataFrame:
-    """Links that leaders missed: within a family, all who are outside its main component against all others.
+def spanning_pairs(part: np.ndarray, pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Of pairs of rows (part: their component) a spanning forest of the components."""
+    parent = {p: p for p in part.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in pairs:
+        p, q = root(int(part[x])), root(int(part[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            yield x, y
+
+
+def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, column: str, pairs_of: Callable[[list[bytes], list[bytes]], Iterator[tuple[int, int]]], name: str, spanning: bool) -> DataFrame:
+    """Pairs that leaders missed: among those who share a leader, all outside its main component against all others.
 
-    members: a (node), b (leader), one row per large key.  Families are the components of this
-    relation.  Blocks of at most about BLOCK nodes are paired, so work is outsiders x members.
+    members: a (node), b (leader).  All nodes under one large key share its leader.  They are
+    dealt into blocks of about BLOCK nodes and blocks are paired, so no task holds a whole
+    group and work is outsiders x members.  Of the pairs that pairs_of finds (by the column of
+    contents) those between different components count; spanning: only as many of them as
+    would join a block's components if all held, so fewer than it has nodes.
     """
-    spark = members.sparkSession
-    family = connected(members.select("a", "b"), f"{name}-families")
-    rows = family.select("node", F.col("component").alias("family")).join(components, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    rows = members.select(F.col("a").alias("node"), F.col("b").alias("family")).distinct().join(components, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     rows = materialize(rows, f"{name}-members")
     sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -211,18 +238,21 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, al
     meet = dealt.select("node", "family", "component", "block", F.explode(others).alias("other"))
     meet = meet.select("node", "component", "block", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
     meet = materialize(meet, f"{name}-meet")
-    full = meet.join(only(contents, meet, "content").withColumnRenamed("value", "content"), "node")
+    full = meet.join(only(contents, meet, column), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         low = table["low"][0].as_py()
         block, part, node = table["block"].to_numpy(), table["component"].to_numpy(), table["node"].to_numpy()
-        content = table["content"].to_pylist()
+        value = table["value"].to_pylist()
         mine = np.flatnonzero(block == low)
         rest = np.flatnonzero(block != low) if (block != low).any() else mine
-        found = [(node[mine[i]], node[rest[j]]) for i, j in alike_sets([content[i] for i in mine], [content[j] for j in rest]) if part[mine[i]] != part[rest[j]]]
+        pairs = ((int(mine[i]), int(rest[j])) for i, j in pairs_of([value[i] for i in mine], [value[j] for j in rest]))
+        if spanning:
+            pairs = spanning_pairs(part, pairs)
+        found = [(int(node[x]), int(node[y])) for x, y in pairs if part[x] != part[y]]
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    return full.select("node", "component", "block", "meeting", "low", "content").groupBy("meeting").applyInArrow(compare, "a long, b long")
+    return full.select("node", "component", "block", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,13 +268,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[
         yield i, np.bincount(owner[place], minlength=len(right))
 
 
-def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_sets: Callable[[list[bytes]], list[np.ndarray]], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None) -> DataFrame:
+def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_sets: Callable[[list[bytes]], list[np.ndarray]], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None, sieve_sets: Callable[[list[bytes], list[bytes]], Iterator[tuple[int, int]]] | None = None) -> DataFrame:
     """node, component for all nodes with a link.
 
     contents_of(filter): node, content (and sketch, for sieve) of the nodes that pass the
     filter, at least once each.  accept(common, size, size): which pairs link.  sift: a filter
     on candidate pairs by what is known without contents; sieve: one by two sketches, which
-    are much smaller than contents.  Neither may reject a pair that links.
+    are much smaller than contents, and sieve_sets the same for all pairs of two lists.  None
+    of these may reject a pair that links.
     """
     spark = entries.sparkSession
     short_batches(spark)
@@ -263,7 +294,7 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
         size = np.array([len(s) for s in sets], np.int64)
         return np.array(accept(pair_overlaps(sets, one, two), size[one], size[two]))
 
-    def alike_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
+    def every_pair(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
         sets = to_sets(left + right)
         p, q = sets[: len(left)], sets[len(left) :]
         size = np.array([len(s) for s in q])
@@ -274,5 +305,16 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
     first = connected(edges, f"{name}-first")
     if members.isEmpty():
         return first
-    more = materialize(crosswise(members, first, raw, alike_sets, name), f"{name}-more")
-    return connected(edges.union(more), f"{name}-all") if not more.isEmpty() else first
+    if not sieve_sets:  # contents are small: compared exactly in the blocks, so a spanning forest of links is enough
+        more = materialize(crosswise(members, first, raw, "content", every_pair, name, True), f"{name}-more")
+        return connected(edges.union(more), f"{name}-all") if not more.isEmpty() else first
+    # by sketches: first the pairs that would join everything likely, then all that is likely and still apart
+    for spanning in (True, False):
+        likely = materialize(crosswise(members, first, raw, "sketch", sieve_sets, name, spanning), f"{name}-likely")
+        if likely.isEmpty():
+            break
+        more = materialize(verify(likely, raw, alike), f"{name}-more")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            first = connected(edges, f"{name}-all")
+    return first

@@ -101,19 +101,41 @@ def sketch(token: np.ndarray, levels: np.ndarray) -> bytes:
     return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes()
 
 
-def sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Pairs that may link: prefixes meet under every order, and enough tokens may be common."""
-    x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (left, right))
-    n, m = (np.ascontiguousarray(z[:, :8]).view("<i8").ravel() for z in (x, y))
-    x, y = x[:, 8:], y[:, 8:]
-    only_x, only_y = (np.bitwise_count(p & ~q).sum(1, dtype=np.int64) for p, q in ((x[:, : ALL_BITS // 8], y[:, : ALL_BITS // 8]), (y[:, : ALL_BITS // 8], x[:, : ALL_BITS // 8])))
+def _read(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and bits."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:]).view(np.uint64)
+
+
+def _may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows that may link: enough tokens may be common, and prefixes meet under every order."""
+    every, words = x[..., : ALL_BITS // 64], PREFIX_BITS // 64
+    other = y[..., : ALL_BITS // 64]
+    both = np.bitwise_count(every & other).sum(-1, dtype=np.int64)
+    only_x, only_y = np.bitwise_count(every).sum(-1, dtype=np.int64) - both, np.bitwise_count(other).sum(-1, dtype=np.int64) - both
     out = accept(np.minimum(n - only_x, m - only_y), n, m)
-    for order in range(ORDERS - 1):
-        at = ALL_BITS // 8 + order * PREFIX_BITS // 8
-        out &= (x[:, at : at + PREFIX_BITS // 8] & y[:, at : at + PREFIX_BITS // 8]).any(axis=1)
+    for at in range(ALL_BITS // 64, x.shape[-1], words):
+        out &= (x[..., at : at + words] & y[..., at : at + words]).any(axis=-1)
     return out
 
 
+def sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    return _may_link(*_read(left), *_read(right))
+
+
+def sieve_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
+    """All pairs of two lists that may link; the right ones in order of size, so only sizes within the threshold are looked at."""
+    (n, x), (m, y) = _read(left), _read(right)
+    order = np.argsort(m, kind="stable")
+    m, y = m[order], y[order]
+    low = np.searchsorted(m, -(-n * SHARE[0] // SHARE[1]))
+    high = np.searchsorted(m, n * SHARE[1] // SHARE[0], side="right")
+    for i in range(len(n)):
+        part = slice(low[i], high[i])
+        for j in np.flatnonzero(_may_link(n[i], x[i], m[part], y[part])).tolist():
+            yield i, int(order[low[i] + j])
+
+
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (SHARE[1] * common >= SHARE[0] * (one + two - common)) & (common > 0)
 
@@ -204,7 +226,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         one, two = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
         return pairs.join(one, "a").join(two, "b").where(f"{SHARE[1]} * least(n_a, n_b) >= {SHARE[0]} * greatest(n_a, n_b)").select("a", "b")
 
-    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, sieve)
+    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, sieve, sieve_sets)
     labelled = rows.join(linked, "node", "left").withColumn("label", F.when(F.col("node") != 0, F.coalesce("component", "node")))
     least = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1 and label is not null")
     own = F.coalesce("least", F.struct("doc_id", "tie")).alias("first")
