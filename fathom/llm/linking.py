@@ -22,6 +22,8 @@ from .common import materialize, mix64, ragged, short_batches
 SMALL = 12
 #: Nodes in a block of the comparison of a large family.
 BLOCK = 512
+#: Likely pairs per node of a meeting above which it first tells a spanning forest of them.
+CROWD = 2
 #: Bits of the filter that tells which nodes' contents are needed: 2 MB, however many there are.
 FILTER_BITS = 24
 ENTRY = np.dtype([("key", "<u8"), ("node", "<u8")])
@@ -224,8 +226,9 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
     members: a (node), b (leader).  All nodes under one large key share its leader.  They are
     dealt into blocks of about BLOCK nodes and blocks are paired, so no task holds a whole
     group and work is outsiders x members.  Of the pairs that pairs_of finds (by the column of
-    contents) those between different components count; spanning: only as many of them as
-    would join a block's components if all held, so fewer than it has nodes.
+    contents) those between different components count.  spanning: a meeting of two blocks
+    with more than CROWD pairs per node tells only as many as would join its components if all
+    held, and its leader in column again (a row without a pair).
     """
     rows = members.select(F.col("a").alias("node"), F.col("b").alias("family")).distinct().join(components, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     rows = materialize(rows, f"{name}-members")
@@ -236,7 +239,7 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
     dealt = dealt.withColumn("block", F.when(F.col("out"), F.pmod("h", "outside")).otherwise(F.col("outside") + F.pmod("h", "inside")).cast("int"))
     others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
     meet = dealt.select("node", "family", "component", "block", F.explode(others).alias("other"))
-    meet = meet.select("node", "component", "block", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
+    meet = meet.select("node", "component", "block", "family", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
     meet = materialize(meet, f"{name}-meet")
     full = meet.join(only(contents, meet, column), "node")
 
@@ -247,12 +250,15 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
         mine = np.flatnonzero(block == low)
         rest = np.flatnonzero(block != low) if (block != low).any() else mine
         pairs = ((int(mine[i]), int(rest[j])) for i, j in pairs_of([value[i] for i in mine], [value[j] for j in rest]))
-        if spanning:
-            pairs = spanning_pairs(part, pairs)
-        found = [(int(node[x]), int(node[y])) for x, y in pairs if part[x] != part[y]]
-        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+        pairs = [(x, y) for x, y in pairs if part[x] != part[y]]
+        again = [table["family"][0].as_py()] if spanning and len(pairs) > CROWD * len(node) else []
+        if again:
+            pairs = list(spanning_pairs(part, iter(pairs)))
+        ends = [sorted((int(node[x]), int(node[y]))) for x, y in pairs]
+        nothing = [None] * len(again)
+        return pa.table({"a": pa.array([p for p, _ in ends] + nothing, pa.int64()), "b": pa.array([q for _, q in ends] + nothing, pa.int64()), "again": pa.array([None] * len(ends) + again, pa.int64())})
 
-    return full.select("node", "component", "block", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long").distinct()
+    return full.select("node", "component", "block", "family", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long, again long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -306,15 +312,17 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
     if members.isEmpty():
         return first
     if not sieve_sets:  # contents are small: compared exactly in the blocks, so a spanning forest of links is enough
-        more = materialize(crosswise(members, first, raw, "content", every_pair, name, True), f"{name}-more")
-        return connected(edges.union(more), f"{name}-all") if not more.isEmpty() else first
-    # by sketches: first the pairs that would join everything likely, then all that is likely and still apart
+        more = materialize(crosswise(members, first, raw, "content", every_pair, name, True).where("a is not null"), f"{name}-more")
+        return connected(edges.union(more.select("a", "b")), f"{name}-all") if not more.isEmpty() else first
+    # by sketches: crowded meetings first tell what would join everything likely, then all that is likely and still apart
     for spanning in (True, False):
         likely = materialize(crosswise(members, first, raw, "sketch", sieve_sets, name, spanning), f"{name}-likely")
-        if likely.isEmpty():
-            break
-        more = materialize(verify(likely, raw, alike), f"{name}-more")
+        more = materialize(verify(likely.where("a is not null").select("a", "b"), raw, alike), f"{name}-more")
         if not more.isEmpty():
             edges = edges.union(more)
             first = connected(edges, f"{name}-all")
+        again = likely.where("again is not null").select(F.col("again").alias("b")).distinct()
+        if not spanning or again.isEmpty():
+            break
+        members = members.join(again, "b", "left_semi").select("a", "b")
     return first
