@@ -18,9 +18,9 @@ GRAM_BASE = 0xD6E8FEB86659FD93
 GRAM_BASE_2 = 0xA0761D6478BD642F
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows in an Arrow batch.  Texts can be long, so batches are short.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 #: Bytes of text that are worked on at a time, unless a single text has more.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Powers of a base that a worker keeps between batches.
 KEPT_POWERS = 1 << 21
 

@@ -23,7 +23,7 @@ from .linking import needed, passes
 ENTRY = np.dtype([("core", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u2"), ("many", "u1")])
 COVER = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("length", "<u4")])
 #: Entries that a task holds before it sends them on.
-HELD = 500_000
+HELD = 200_000
 #: Different contexts of one core from which on its windows are compared by hash, each under its own key.
 HOT = 2000
 FOUND = "doc long, tie long, kind int, start long, n long, core long"
