@@ -2,8 +2,9 @@
 
 A source with n documents and target weight w (weights sum to 1) gets the mean repetition
 rate  w * epochs * N / n.  Each document's count inverts the Poisson distribution of that
-mean at a uniform number hashed from seed and document; the document is exploded by its
-count, and all copies are shuffled globally in the order of another hash.
+mean at a uniform number hashed from seed and document; a mean above LIMIT is the sum of
+equal parts with a number each.  The document is exploded by its count, and all copies are
+shuffled globally in the order of another hash.
 
 All in DataFrame functions: counts come from a per-source array of cumulative
 probabilities, so no row is looked at more than once.
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Terms of a distribution, as a multiple of its mean plus a constant; the rest is below 1e-15.
 TERMS_A, TERMS_B = 3, 40
+#: Largest mean inverted at once: exp(-mean) and the terms after it are normal doubles.
+LIMIT = 700.0
 #: Most sources whose rates are broadcast; with more, both sides are dealt by source and a salt.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
@@ -43,7 +46,7 @@ def source_rates(df: DataFrame, source_col: str = "source", weights: dict[str |
 
 
 def cumulative(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), .. of a Poisson variable, as an array.  Terms are exp(k ln m - m - ln k!)."""
+    """P(X <= 0), P(X <= 1), .. of a Poisson variable of a mean up to LIMIT, as an array."""
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
     terms = F.sequence(F.lit(1), (F.ceil(rate) * TERMS_A + TERMS_B).cast("int"))
     return F.aggregate(terms, start, lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * rate / k)).alias("c")), lambda acc: acc["c"])
@@ -52,11 +55,12 @@ def cumulative(rate: Column) -> Column:
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 17, partitions: int | None = None) -> DataFrame:
     """All columns of df, then mix_copy (from 0) and mix_key, sorted by mix_key over all partitions.
 
-    A mean rate above 500 is not supported (its first probability would underflow).  Rows
-    with equal id, repeated or null, draw the same number: a repeated row is repeated alike.
-    An empty table gives no rows.
+    A mean above LIMIT is split into equal parts, whose counts add up to a Poisson count of
+    the whole mean.  Rows with equal id, repeated or null, draw the same numbers: a repeated
+    row is repeated alike.  An empty table gives no rows.
     """
-    rates = source_rates(df, source_col, weights, epochs).select("source", cumulative(F.col("rate")).alias("cumulative"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LIMIT).cast("int"))
+    rates = source_rates(df, source_col, weights, epochs).withColumn("parts", parts).select("source", "parts", cumulative(F.col("rate") / F.col("parts")).alias("cumulative"))
     names = df.columns
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(source_col).cast("string").alias("of"), uniform(F.lit(seed), F.col(id_col)).alias("u"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
@@ -64,7 +68,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = rows.withColumn("by", F.pmod(F.hash("u"), F.lit(SALTS))).join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("by") == F.col("salt")))
-    times = F.size(F.filter("cumulative", lambda c: c <= F.col("u")))
+    count = lambda u: F.size(F.filter("cumulative", lambda c: c <= u))
+    others = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: uniform(F.lit(seed), F.col(f"row.{id_col}"), k))
+    times = count(F.col("u")) + F.when(F.col("parts") > 1, F.aggregate(others, F.lit(0), lambda n, u: n + count(u))).otherwise(0)
     copies = drawn.withColumn("times", times).where("times > 0").select("row", F.posexplode(F.array_repeat(F.lit(True), F.col("times"))).alias("mix_copy", "one"))
     keyed = copies.withColumn("mix_key", F.substring(F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), F.coalesce(F.col(f"row.{id_col}").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))), 1, 16))
     out = keyed.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "mix_copy", "mix_key")

@@ -124,6 +124,16 @@ def test_mix_rates_and_order(spark):
     assert {r["source"] for r in mixing.mix(rows, weights={"b": 1.0}).select("source").distinct().collect()} == {"b"}
 
 
+@pytest.mark.parametrize("rate", [650.0, 720.0, 819.0, 3000.0])
+def test_mix_large_rates(spark, rate):
+    """Counts of a large mean have the mean and the variance of a Poisson variable."""
+    rows = spark.createDataFrame([(i, "rare") for i in range(200)], "doc_id long, source string")
+    out = mixing.mix(rows, epochs=rate)
+    per = np.array([r["count"] for r in out.groupBy("doc_id").count().collect()])
+    assert len(per) == 200 and abs(per.mean() - rate) < 5 * (rate / 200) ** 0.5 and 0.6 < per.var() / rate < 1.6
+    assert out.groupBy("doc_id", "mix_copy").count().where("count > 1").isEmpty()
+
+
 def test_mix_awkward_rows(docs, empty):
     out = mixing.mix(docs, epochs=3.0)
     assert out.columns == [*docs.columns, "mix_copy", "mix_key"] and out.count() > 0
