@@ -253,14 +253,25 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("qid", "answer", F.size("citations").alias("n_citations"), F.size("hallucinated_citations").alias("n_hallucinated"))
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, id): documents that contain an item's passage, found through its five rarest words.
+def truth(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, id): the documents (doc_id, text) that contain a passage (qid, query).
 
-    The passage's first 12 characters key the equi join, cut at each place they can start.
+    Both are cut at spaces and newlines.  A word between two cuts of the passage is a whole
+    word of each document that holds the passage; the longest of them keys the equi join.
+    Passages without such a word are compared with every document.
     """
-    asked = items(spark, sf_dir).withColumn("head", F.get(F.split("query", " "), F.lit(0))).withColumn("second", F.get(F.split("query", " "), F.lit(1)))
-    words = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("second"))
-    return words.join(F.broadcast(asked), "second").where(F.contains("text", F.col("query"))).select("qid", F.col("doc_id").alias("id")).distinct()
+    cut = lambda c: F.split(c, r"[ \n]")
+    inner = F.filter(cut(F.col("query")), lambda w, i: (i > 0) & (i < F.size(cut(F.col("query"))) - 1) & (w != ""))
+    keyed = asked.select("qid", "query", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(0)).alias("word"))
+    whole = F.contains("text", F.col("query"))
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
+    found = words.join(F.broadcast(keyed.where("word is not null")), "word").where(whole)
+    other = docs.select("doc_id", "text").join(F.broadcast(keyed.where("word is null")), whole)
+    return found.select("qid", F.col("doc_id").alias("id")).unionByName(other.select("qid", F.col("doc_id").alias("id"))).distinct()
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth(items(spark, sf_dir), documents(spark, sf_dir))
 
 
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.config import Settings
 from fathom.operators import dense, embedding, evaluation, fusion, generation, lexical, report, rerank, retrieve, views
+from fathom.plans import queries
 
 DOCS = ["the cat sat", "the dog sat down", "the the the", "a bird", "", "cat and dog and cat"]
 
@@ -147,3 +148,13 @@ def test_truth_and_report(spark):
     assert (found["hit5"], found["hit10"]) == (False, True)
     assert evaluation.run_matrix(known).count() == 8 and evaluation.sample(known, 1).count() == 1
     assert "| hit5 |" in report.table(evaluation.hit_at(hits, evaluation.relevant_by_metadata(hits, known)).select("hit5"))
+
+
+def test_truth_is_plain_containment(spark):
+    """Passages with a newline after the second word, of one or two words, cut inside words, empty and null."""
+    passages = ["one two\nthree four", "two", "two\nthree", "ne two\nthree fo", "e  f", "\nfour ", "", None, "absent words here"]
+    texts = ["zero one two\nthree four five", "one two three four", "wone two\nthree four", "a e  f b", "\nfour two ", "", None, "two"]
+    asked = spark.createDataFrame(list(enumerate(passages)), "qid long, query string")
+    found = queries.truth(asked, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {(q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
+    assert len(found) == len(want) and {(r["qid"], r["id"]) for r in found} == want
