@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -135,14 +135,30 @@ def where_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.apply(table(spark, sf_dir, "orders"), where).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
-def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings written from documents: a table of contents, then one section per item."""
-    body = F.replace(F.replace("text", F.lit("item"), F.lit("thing")), F.lit("Item"), F.lit("Thing"))
+def _filing(first: Column, second: Column, third: Column) -> Column:
+    """A table of contents, then one section per item; odd documents have no third."""
     toc = F.lit("Contents\nItem 1. Business\nItem 1A. Risk Factors\nItem 7. Discussion\n")
-    size = F.length(body)
+    last = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nItem 7: Discussion of results\n"), third)).otherwise(F.lit(""))
+    return F.concat(toc, F.lit("Item 1. Business overview.\n"), first, F.lit("\nITEM 1A - Risks\n"), second, last)
+
+
+def _body() -> Column:
+    return F.replace(F.replace("text", F.lit("item"), F.lit("thing")), F.lit("Item"), F.lit("Thing"))
+
+
+def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings written from documents as the SQL of the section queries fixes them: thirds rounded down, of odd documents two."""
+    body, size = _body(), F.length(_body())
     part = lambda i: F.substring(body, (F.floor(size * i / 3) + 1).cast("int"), F.floor(size / 3).cast("int"))
-    whole = F.concat(toc, F.lit("Item 1. Business overview.\n"), part(0), F.lit("\nITEM 1A - Risks\n"), part(1), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nItem 7: Discussion of results\n"), part(2))).otherwise(F.lit("")))
-    return documents(spark, sf_dir).select("doc_id", whole.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", _filing(part(0), part(1), part(2)).alias("text"))
+
+
+def full_filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings that hold the whole document: the second section of odd documents runs to the end."""
+    body, size = _body(), F.length(_body())
+    at = lambda i: F.floor(size * i / 3).cast("int")
+    part = lambda i, end: F.substring(body, at(i) + 1, end - at(i))
+    return documents(spark, sf_dir).select("doc_id", _filing(part(0, at(1)), part(1, F.when(F.col("doc_id") % 2 == 0, at(2)).otherwise(size)), part(2, size)).alias("text"))
 
 
 def section_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,23 +190,22 @@ def html_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.parse_pages(table(spark, sf_dir, "pages"), keep=("page_id",))
 
 
-def filing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings (nested sections) written from documents."""
-    docs = filing_texts(spark, sf_dir)
+def filing_rows(docs: DataFrame) -> DataFrame:
+    """Filings (nested sections) from their texts."""
     rolled = sections.roll_up(sections.extract(docs, "doc_id"), docs, "doc_id")
     return rolled.select(F.col("doc_id").cast("string").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.lit("2024-01-31").alias("filing_date"), "sections", "total_chars", "extraction_warnings")
 
 
 def filing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filing_rows(spark, sf_dir).select("ticker", F.size("sections").alias("n_sections"), "total_chars", F.size("extraction_warnings").alias("n_warnings"))
+    return filing_rows(filing_texts(spark, sf_dir)).select("ticker", F.size("sections").alias("n_sections"), "total_chars", F.size("extraction_warnings").alias("n_warnings"))
 
 
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.recursive(filing_rows(spark, sf_dir))
+    return chunking.recursive(filing_rows(full_filing_texts(spark, sf_dir)))
 
 
 def chunk_section_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_aware(filing_rows(spark, sf_dir))
+    return chunking.section_aware(filing_rows(full_filing_texts(spark, sf_dir)))
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -199,7 +214,7 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of zeros: chunks too long, too short, out of their section, or in a gap of indexes."""
-    rows = filing_rows(spark, sf_dir)
+    rows = filing_rows(full_filing_texts(spark, sf_dir))
     chunks = chunking.section_aware(rows)
     outside = chunking.containment_violations(chunks, _exploded(rows), ["ticker", "fiscal_year"]).agg(F.count(F.lit(1)))
     gaps = chunks.groupBy("ticker").agg((F.max("chunk_index_in_filing") + 1 - F.count(F.lit(1))).alias("gap")).agg(F.coalesce(F.sum("gap"), F.lit(0)))
@@ -208,7 +223,7 @@ def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filing_rows(spark, sf_dir)
+    rows = filing_rows(full_filing_texts(spark, sf_dir))
     return chunking.counts(chunking.recursive(rows).unionByName(chunking.section_aware(rows)))
 
 
@@ -370,7 +385,7 @@ def excerpt_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_pipeline_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: filings, sections, chunks, index, BM25 top 5 over chunks."""
-    chunks = chunking.section_aware(filing_rows(spark, sf_dir), Settings())
+    chunks = chunking.section_aware(filing_rows(full_filing_texts(spark, sf_dir)), Settings())
     return lexical.top_n(lexical.build(chunks, "chunk_id"), items(spark, sf_dir), 5).select("qid", F.col("id").alias("chunk_id"), "score", "rank")
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathom.operators import chunking, html, sections
+from fathom.plans import queries
 from fathom.sources import filings, tables
 from fathom.streaming import ingest
 
@@ -137,3 +138,14 @@ def test_streaming_ingest_appends_each_filing_once(spark, tmp_path):
         ingest.ingest(spark, str(source), schema, str(tmp_path / "out"), str(tmp_path / f"cp{i}")).awaitTermination()
         counts.append(spark.read.parquet(str(tmp_path / "out" / "section_aware")).count())
     assert counts[0] > 0 and counts[0] == counts[1]
+
+
+def test_chunked_filings_hold_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: (r["text"] or "").replace("item", "thing").replace("Item", "Thing") for r in queries.documents(spark, sf).collect()}
+    for r in queries.full_filing_texts(spark, sf).collect():
+        _, rest = r["text"].split("Item 1. Business overview.\n", 1)
+        assert rest.replace("\nITEM 1A - Risks\n", "", 1).replace("\nItem 7: Discussion of results\n", "", 1) == text[r["doc_id"]]
+    ends = {(int(r["ticker"]), r["text"].rstrip()[-40:]) for r in queries.chunk_section_aware(spark, sf).collect()}
+    long = [i for i, t in text.items() if i % 2 and len(t) > 3000]
+    assert long and sum((i, text[i].rstrip()[-40:]) in ends for i in long) >= 0.9 * len(long)
