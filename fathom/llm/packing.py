@@ -10,6 +10,8 @@ sequences.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +32,7 @@ VOCABULARY = "byte_bpe_50k"
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str = VOCABULARY, folder: str | None = None):
-    """texts -> ids.  The ranks file holds the vocabulary of the .json tokenizer and gives the same ids faster."""
+    """text -> ids of ordinary text.  The ranks file holds the vocabulary of the .json tokenizer and gives the same ids faster."""
     import tiktoken
 
     if folder is None:
@@ -46,6 +48,40 @@ def encoder(vocabulary: str = VOCABULARY, folder: str | None = None):
     return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=4)
+def added_tokens(vocabulary: str = VOCABULARY, folder: str | None = None) -> dict[str, int]:
+    """The tokens that the .json tokenizer finds in a text before it splits and merges, with their ids."""
+    if folder is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(f"{vocabulary}.json")
+    else:
+        path = f"{folder}/{vocabulary}.json"
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} is not a plain literal")
+    return {token["content"]: token["id"] for token in tokens}
+
+
+@lru_cache(maxsize=4)
+def full_encoder(vocabulary: str = VOCABULARY, folder: str | None = None):
+    """text -> ids of the .json tokenizer: added tokens by their own ids, the text between them as ordinary text."""
+    ordinary, added = encoder(vocabulary, folder), added_tokens(vocabulary, folder)
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
+
+    def encode(text: str) -> list[int]:
+        if not any(token in text for token in added):
+            return ordinary(text)
+        ids: list[int] = []
+        for k, part in enumerate(split(text)):
+            ids += [added[part]] if k % 2 else ordinary(part)
+        return ids
+
+    return encode
+
+
 class CapacityTree:
     """Open sequences by remaining capacity, in a binary segment tree over 0 .. size."""
 
@@ -103,7 +139,7 @@ def token_pieces(docs: DataFrame, shards: int, window: int = WINDOW, with_ids: b
     """Each document's windows and remainder.  docs: doc_id, text, shard."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(VOCABULARY, folder)
+        encode = full_encoder(VOCABULARY, folder)
         for batch in batches:
             rows, known = [], {}
             for doc, shard, text in zip(batch["doc_id"].to_pylist(), batch["shard"].to_pylist(), batch["text"].to_pylist(), strict=True):

@@ -156,6 +156,19 @@ def test_fast_encoder_gives_the_tokenizers_ids(text):
     assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"{mark}\n\n  é😀 x{mark}y ", f"  {mark}  don't", "<|endoftext |> <|endoftext|", f"<|{mark}|>", "plain", ""]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert next(r for r in rows if r["doc_id"] == 0)["ids"] == [64, 220, 50256, 275, 1]
+
+
 def test_best_fit_decreasing_is_best_fit():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 101, 700)
