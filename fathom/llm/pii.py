@@ -1,6 +1,7 @@
 """Personal data: fixed base patterns, and identifiers discovered from their contexts.
 
-Base entities are the seeds of a bootstrap.  A lexical pattern is the pair of words before
+Base entities are the seeds of a bootstrap.  Candidates are words, and runs of digit groups with the separators
+that seeds have (space, hyphen, dot, parentheses).  A lexical pattern is the pair of words before
 an identifier; an instance is the identifier's text.  Spark scores the graph of patterns and
 instances in rounds: a pattern's confidence in a kind is the share of that kind among the
 distinct identifier-like instances it introduces, an unlabelled instance's score in a kind
@@ -25,6 +26,8 @@ ROUNDS = 3
 SUPPORT, ACCEPT = 4.0, 0.8
 #: An identifier-like word has so many digits at least, or an @.
 DIGITS = 5
+#: Digits and characters of a candidate at most; a longer run of groups is cut between groups.
+MOST_DIGITS, MOST_CHARS = 19, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,6 +36,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9]+|@")
+_GROUPS = re.compile(r"(?<!\w)\+?\(?[0-9]++(?:(?:\.|[\x20()-]{1,3})[0-9]++)+(?!\w)")
+_GROUP = re.compile(r"[0-9]+")
 _LUHN = str.maketrans("0123456789", "0246813579")
 
 
@@ -93,10 +98,38 @@ def identifier_words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[t
             left += 1
         while right > left and not text[right - 1].isalnum():
             right -= 1
-        if right - left <= 64 and (len(_digits(text[left:right])) >= DIGITS or "@" in text[left:right]):
+        if right - left <= MOST_CHARS and (len(_digits(text[left:right])) >= DIGITS or "@" in text[left:right]):
             yield left, right
 
 
+def identifier_runs(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Digit groups over several words, DIGITS to MOST_DIGITS digits in all, that touch no base span.
+
+    The plus sign or parenthesis before the first group belongs to the run.
+    """
+    parts, at = [], 0
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if e > at:
+            parts += (text[at : max(s, at)], "\n" * (e - max(s, at)))
+            at = e
+    text = "".join((*parts, text[at:]))
+    for run in _GROUPS.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, run.start(), run.end())]
+        k = 0
+        while k < len(groups):
+            start, digits, last = run.start() if k == 0 else groups[k][0] - (text[groups[k][0] - 1] == "("), 0, k
+            while last < len(groups) and groups[last][1] - start <= MOST_CHARS and digits + groups[last][1] - groups[last][0] <= MOST_DIGITS:
+                digits += groups[last][1] - groups[last][0]
+                last += 1
+            if last > k:
+                end = groups[last - 1][1]
+                if text[start] == "(" and ")" not in text[start:end]:
+                    start += 1
+                if digits >= DIGITS and " " in text[start:end]:
+                    yield start, end
+            k = max(last, k + 1)
+
+
 FOUND = "doc_id long, tie long, base array<struct<kind:int,start:long,end:long>>, seen array<struct<kind:int,start:long,end:long,pattern:string,instance:string>>"
 
 
@@ -112,7 +145,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             for text in batch["text"].to_pylist():
                 own = base_spans(text)
                 base.append(own)
-                other.append([(k, s, e, context(text, s), text[s:e].lower()) for k, s, e in (*own, *((-1, s, e) for s, e in identifier_words(text, own)))])
+                other.append([(k, s, e, context(text, s), text[s:e].lower()) for k, s, e in (*own, *((-1, s, e) for s, e in (*identifier_words(text, own), *identifier_runs(text, own))))])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array([[dict(zip(span.names, x, strict=True)) for x in row] for row in base], pa.list_(span)), pa.array([[dict(zip(seen.names, x, strict=True)) for x in row] for row in other], pa.list_(seen))], names=["doc_id", "tie", "base", "seen"])
 
     return id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text")).mapInArrow(run, FOUND)
@@ -143,13 +176,15 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """Personal data of every text: doc_id, base and spans (arrays of kind number, start, end).
 
     Offsets are code points, end exclusive.  spans holds the base spans and the discovered
-    ones, by kind, then start.  Null and empty texts have none; repeated rows get equal rows;
+    ones, by kind, then start; a discovered span inside a longer one is left out.  Null and empty texts have none; repeated rows get equal rows;
     an empty table gives none.
     """
     found = materialize(scan(df, id_col, text_col), "pii-found")
     seen = found.select("doc_id", "tie", F.explode("seen").alias("x")).select("doc_id", "tie", "x.*")
     taken = bootstrap(seen)
     more = seen.where("kind < 0").drop("kind").join(taken, "instance").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    more = more.withColumn("more", F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y))))
     both = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "doc_id", "tie", "base").join(more.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "tie", "more"), ["key", "tie"], "left")
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))).alias("spans"))
 

@@ -92,6 +92,26 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(found[i]["n_card"] == 1 and found[i]["n_discovered"] == 0 for i in range(9))
 
 
+def test_bootstrap_finds_unseen_spaced_identifiers(spark):
+    """Phones without a country and spaced cards with a wrong check digit, where such seeds stand; elsewhere they stay out."""
+    cards = [f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}" for c in map(str, range(4111111111111111, 4111111111111211)) if pii.luhn(c)][:9]
+    rows = [(i, f"order {i} paid with card {c} today") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"please phone me at +1 (376) 555-43{i}3 soon") for i in range(9)]
+    unseen = {40: ("card", "later paid with card 4111 1111 1111 1112 again", "4111 1111 1111 1112"), 41: ("phone", "please phone me at (376) 555-4399, please", "(376) 555-4399")}
+    rows += [(i, text) for i, (_, text, _) in unseen.items()] + [(50, "batch number 4111 1111 1111 1113 shipped"), (51, "in 1999. 12 men")]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, (kind, text, span) in unseen.items():
+        assert found[i]["spans"] == f"{kind}:{text.index(span)}:{text.index(span) + len(span)}" and found[i]["n_discovered"] == 1
+    assert found[50]["spans"] == found[51]["spans"] == "" and all(found[i]["n_discovered"] == 0 for i in (*range(9), *range(20, 29)))
+
+
+def test_identifier_runs():
+    cut = lambda text: [text[a:b] for a, b in pii.identifier_runs(text, pii.base_spans(text))]
+    assert cut("tel (376) 555-4393, card (4111 1111 1111 1112) and 4111 1111 1111 1112 5th") == ["(376) 555-4393", "4111 1111 1111 1112", "4111 1111 1111 1112"]
+    assert cut("4111 1111 1111 1112 2024 1.2.3.4 555 43 93 99") == ["4111 1111 1111 1112", "555 43 93 99"]
+    assert cut("in 1999. 12 men, a12 3456, 555-4393 or 12 34") == []
+
+
 def test_pii_digest_columns(spark):
     text = "é x.y@mail.example.com 1.2.3.4 300.1.1.1 +1 (376) 555-4393 and 4111 1111 1111 1111, a@b.cd 9.9.9.9"
     row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
