@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup over words by anchored window hashing, in place of relative Lempel-Ziv parsing.
 
-Every task's documents form a reference block, and all blocks are indexed under the hashes
-of their anchors (anchors.py).  A document's chunks that occur in the index at an earlier
-place are factors; they are taken greedily and in full.  Where a factor ends (an anchor that
-occurs earlier, but amid other words) the windows across the boundary are checked one by
-one, so that every window of 20 words that starts earlier somewhere is found.
+Documents are cut into chunks at anchors (anchors.py), and the chunks of all tasks are joined
+by the hashes of their core and context; nothing looks up or extends a longest match.  Where
+a chunk stays open (its core occurs earlier, but amid other words) its windows are joined one
+by one, so that every window of 20 words that starts earlier somewhere is found.
 """
 
 from __future__ import annotations
