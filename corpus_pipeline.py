@@ -7,11 +7,19 @@ columns of documents.  Stages read their input more than once, so it is a writte
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import line_dedup, mixing, ngram_join, ordinal, packing
 from fathom.llm.common import materialize
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row for each id and text (null: empty), the least by the other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")).agg(F.min(F.struct(*others, "text")).alias("row"))
+    return rows.select(*("doc_id" if c == "doc_id" else f"row.{c}" for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the rated documents among docs; the rejected ones go."""
     grades = ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of alike documents the first stays."""
-    return ngram_join.keep_first(docs)
+    """Of each component of alike documents the first stays, and of its repeated rows one."""
+    return one_of_each(ngram_join.keep_first(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

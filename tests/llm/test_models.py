@@ -172,3 +172,13 @@ def test_pipeline_stages(spark, request, case):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert len(rows) and rows.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_pipeline_removes_repeated_rows(spark):
+    """A row that occurs three times and null-id copies pass both dedup stages once."""
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(4)}
+    rows = [(1, texts[1]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (None, texts[0]), (None, texts[0]), (None, texts[3]), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, SF), SF)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == Counter({(i, t or "") for i, t in rows})
