@@ -1,119 +1,131 @@
 """Suffix-array dedup of byte strings, by deep-shallow sorting.
 
-A sparse suffix array over the whole corpus: anchors (anchors.py) settle all strings whose
-surroundings agree as well; the suffixes at the edges of repeats are brought together by the
-hash of the bytes they share, sorted by suffix_sort.deep_shallow to the depth of a string,
-and strings equal to their neighbour in that order repeat.
+The suffixes that can repeat (repeats.py finds where they lie) are sorted in groups that are
+fixed by content, so a suffix and all that agree with it are in one group: multikey quicksort
+to a shallow depth, then blind tries (suffix_sort).  Neighbours in that order tell each
+suffix's longest common prefix with any other, up to `window` bytes.  From `window` bytes on
+the string repeats and goes; from `shared` bytes on it is reported only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import repeats
-from .common import GRAM_BASE, joined, materialize, ragged, short_batches, small
-from .linking import bucket_bits
-from .suffix_sort import deep_shallow
+from .common import GRAM_BASE, joined, ragged
+from .suffix_sort import sorted_suffixes
 
-WINDOW, GRAM, CHUNK = 400, 64, 64
-PIECES = "bucket long, core long, doc long, tie long, start long, n long, bytes binary"
+#: A string of WINDOW bytes that starts elsewhere too is removed; one of SHARED bytes, about 50 words, is counted.
+WINDOW, SHARED = 400, 256
+GRAM, CHUNK = 64, 128
+#: Bytes per entry of the routing, for the number of buckets.
+ENTRY_BYTES = 70
+#: UTF-8 never has this byte: it ends the suffixes that reach their text's end.
+END = 0xFF
+SPANS = "doc long, tie long, start long, n long, kind long"
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bytes(texts: pa.Array) -> tuple:
     buf, first = joined(texts, "")
-    return buf, buf.astype(np.uint64) + np.uint64(1), first
-
-
-def sort_edges(table: pa.Table, window: int) -> pa.Table:
-    """Covers among the open chunks of one bucket."""
-    table = table.combine_chunks()
-    names = ("core", "doc", "tie", "start", "n")
-    core, doc, tie, start, n = (table[c].to_numpy() for c in names)
-    kept = np.unique(np.stack([core, doc, tie, start], 1), axis=0, return_index=True)[1]  # a repeated row is one document
-    core, doc, tie, start, n = core[kept], doc[kept], tie[kept], start[kept], n[kept]
-    text, first = joined(table["bytes"].combine_chunks().take(pa.array(kept)).cast(pa.large_binary()), b"")
-    suffix, of = ragged(first[:-1], n), np.repeat(np.arange(len(n)), n)
-    order, equal = deep_shallow(text, suffix, core[of], window)
-    twin = equal.copy()
-    twin[:-1] |= equal[1:]
-    hit = np.sort(order[twin])
-    head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])])) if len(hit) else np.zeros(0, np.int64)
-    last = np.append(head[1:], len(hit)) - 1 if len(hit) else head
-    row = of[hit[head]]
-    shift = suffix[hit[head]] - first[row]
-    length = hit[last] - hit[head] + window if len(hit) else np.zeros(0, np.int64)
-    return pa.table({"doc": doc[row], "tie": tie[row], "kind": pa.array(np.zeros(len(row), np.int32)), "start": start[row] + shift, "n": length, "core": core[row]})
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless with_bytes is false, kept (binary).
+    return buf.astype(np.uint64) + np.uint64(1), GRAM_BASE, first, lambda a, b: buf[a:b].tobytes()
+
+
+def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray, size: np.ndarray, lengths: tuple[int, ...]) -> list[tuple]:
+    """Spans of pieces of which every suffix repeats: n starts, size bytes."""
+    out = []
+    for kind in lengths:
+        starts = np.minimum(n, size - kind + 1)
+        hit = starts > 0
+        out.append((doc[hit], tie[hit], start[hit], starts[hit] + kind - 1, np.full(int(hit.sum()), kind)))
+    return out
+
+
+def _table(parts: list[tuple]) -> pa.Table:
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+    return pa.table(dict(zip(("doc", "tie", "start", "n", "kind"), map(pa.array, columns), strict=True)))
+
+
+def sort_group(table: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
+    """Repeated spans among the pieces of one bucket, by the order of their suffixes."""
+    names = ("core", "lead", "doc", "tie", "start", "n")
+    column = [table[c].to_numpy() for c in names]
+    place = np.lexsort(column[::-1])
+    key = np.stack(column, 1)[place]
+    new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])  # a repeated row is one document
+    many = np.maximum.reduceat(table["many"].to_numpy(zero_copy_only=False)[place], np.flatnonzero(new))
+    place = place[new]
+    core, lead, doc, tie, start, n = (c[place] for c in column)
+    raw = table["units"].take(pa.array(place)).to_pylist()
+    size = np.array([len(r) for r in raw])
+    # equal pieces are one string with several places
+    number: dict[tuple, int] = {}
+    which = np.array([number.setdefault(k, len(number)) for k in zip(core.tolist(), lead.tolist(), raw, strict=True)])
+    many = np.bincount(which, weights=many) + np.bincount(which) > 1
+    sure = many[which]
+    parts = _spans(doc[sure], tie[sure], start[sure], n[sure], size[sure], lengths)
+    one = np.unique(which, return_index=True)[1]
+    together = np.unique(core[one], return_inverse=True)[1]
+    one = one[np.bincount(together)[together] > 1]  # with other pieces of the core
+    depth = max(lengths)
+    count, long = n[one], size[one]
+    pad = count + depth - 1
+    text = np.full(int(pad.sum()), END, np.uint8)
+    begin = np.cumsum(pad) - pad
+    text[ragged(begin, long)] = np.frombuffer(b"".join(raw[i] for i in one.tolist()), np.uint8)
+    suffix, of = ragged(begin, count), np.repeat(np.arange(len(one)), count)
+    left = long[of] - (suffix - begin[of])
+    # equal strings lie equally far before their core, so only those are sorted together
+    shift = (lead[one][of] - (suffix - begin[of])).astype(np.uint64)
+    group = core[one][of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + shift if len(of) else np.zeros(0, np.uint64)
+    order, common = sorted_suffixes(text, suffix, group, depth)
+    common = np.minimum(common, np.minimum(left[order], np.concatenate([[0], left[order][:-1]]))) if len(order) else common
+    best = np.zeros(len(order), np.int64)
+    best[order] = np.maximum(common, np.append(common[1:], 0)) if len(order) else 0
+    for kind in lengths:
+        hit = np.flatnonzero(best >= kind)
+        if len(hit):
+            head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])]))
+            last = np.append(head[1:], len(hit)) - 1
+            row = of[hit[head]]
+            at = one[row]
+            parts.append((doc[at], tie[at], start[at] + suffix[hit[head]] - begin[row], hit[last] - hit[head] + kind, np.full(len(row), kind)))
+    return _table(parts)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, with_bytes: bool = True, shared: int = SHARED) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and, unless with_bytes is false, kept (binary).
 
     A byte goes if a string of `window` bytes over it also starts anywhere else, in this
-    document or another.  Null and empty texts have no bytes.  Rows of equal id and text are
-    one document, which does not repeat itself, and get equal results.
+    document or another.  n_shared counts the bytes below such strings of `shared` bytes
+    (window at most), which stay.  Null and empty texts have no bytes.  Rows of equal id and
+    text are one document, which does not repeat itself, and get equal results; an empty table
+    gives none.
     """
-    spark = df.sparkSession
-    short_batches(spark)
-    docs = repeats.keyed_docs(df, id_col, text_col)
-    scale = repeats.Scale(window, gram, chunk, False)
-    one = repeats.Scale(window, window, 1, False)
-    bits = bucket_bits(df.count() * 70, 100_000)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[np.ndarray]:
-            for batch in small(batches):
-                _, unit, first = _bytes(batch["text"])
-                yield repeats.chunk_entries(unit, GRAM_BASE, first, batch["doc"].to_numpy(), batch["tie"].to_numpy(), scale)
-
-        yield from repeats.send_all(parts(), scale, bits)
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            buf, _, first = _bytes(batch["text"])
-            spans = batch["open"]
-            text = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())
-            start, n, core = (spans.flatten().field(i).to_numpy() for i in range(3))
-            at = (start + first[text]).tolist()
-            raw = [buf[a : a + m + window - 1].tobytes() for a, m in zip(at, n.tolist(), strict=True)]
-            bucket = (core.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(core), *(batch[c].take(pa.array(text)) for c in ("doc", "tie")), pa.array(start), pa.array(n), pa.array(raw, pa.binary())], names=["bucket", "core", "doc", "tie", "start", "n", "bytes"])
-
-    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[np.ndarray]:
-            for batch in small(batches):
-                _, unit, first = _bytes(batch["text"])
-                spans = batch["open"]
-                text = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())
-                start, n = (spans.flatten().field(i).to_numpy() for i in range(2))
-                yield repeats.window_entries(unit, GRAM_BASE, start + first[text], n, text, first, batch["doc"].to_numpy(), batch["tie"].to_numpy(), one)
-
-        yield from repeats.send_all(parts(), one, bits)
-
-    text = docs.select("doc", "tie", "text")
-    found = materialize(repeats.settled(text.mapInArrow(index, "bucket long, data binary"), scale, True), "suffix-chunks")
-    edge = repeats.with_spans(text, found.where(f"kind = {repeats.OPEN}"), ["start", "n", "core"], "open").select("doc", "tie", "text", "open")
-    more = edge.mapInArrow(edges, PIECES).groupBy("bucket").applyInArrow(lambda table: sort_edges(table, window), repeats.FOUND)
-    every = found.where(f"kind = {repeats.COVERED}").unionByName(more)
-    hot = found.where(f"kind = {repeats.OPEN_HOT}")
-    if not hot.isEmpty():
-        rows = repeats.with_spans(text, hot, ["start", "n"], "open").select("doc", "tie", "text", "open")
-        every = every.unionByName(repeats.settled(rows.mapInArrow(hot_windows, "bucket long, data binary"), one, False))
-    every = materialize(every.select("doc", "tie", "start", "n"), "suffix-covers")
-
-    def keep(text: str, runs: list[tuple[int, int]]) -> tuple:
+    shared = min(shared, window)
+    lengths = (window, shared) if shared < window else (window,)
+    scale = repeats.Scale(shared, min(gram, shared), min(chunk, shared - min(gram, shared) + 1), window, repeats.HOT)
+
+    def settle(place: tuple, first: tuple) -> tuple:
+        return tuple(_table(_spans(*place, first[4], lengths)).columns)
+
+    docs, twins, rows = repeats.repeated(df, id_col, text_col, _bytes, scale, lengths, ENTRY_BYTES, lambda table: sort_group(table, lengths), settle, SPANS, "suffix")
+    whole = twins.select("doc", "tie", F.lit(0).cast("long").alias("start"), F.lit(repeats.WHOLE).alias("n"), F.lit(0).cast("long").alias("kind"))
+
+    def keep(text: str, cover: list[np.ndarray]) -> tuple:
         raw, at, parts = text.encode(), 0, []
-        for a, b in runs:
+        start, n, kind = cover
+        copied = bool((kind == 0).any())
+        runs = {k: ([(0, len(raw))] if copied and len(raw) >= k else repeats.merged(start[kind == k], n[kind == k])) for k in lengths}
+        for a, b in runs[window]:
             parts.append(raw[at:a])
             at = b
         kept = b"".join([*parts, raw[at:]])
-        return len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
+        return len(raw), len(raw) - len(kept), len(runs[window]), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in runs[shared]), kept if with_bytes else None
 
-    out = repeats.cut(docs, every, keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
+    out = repeats.cut(docs, rows.unionByName(whole), keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary", (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))
     return out if with_bytes else out.drop("kept")
-
-

@@ -87,6 +87,15 @@ def deep_shallow(text: np.ndarray, start: np.ndarray, group: np.ndarray, depth:
     Returns the order (indices into start) and, for each place in it, whether the suffix
     equals the one before it (same group, common prefix of depth bytes).
     """
+    order, common = sorted_suffixes(text, start, group, depth)
+    return order, common == depth
+
+
+def sorted_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes within each group, and each one's common prefix with the one before it.
+
+    The common prefix is told if it has more than SHALLOW bytes (or the whole depth); else it is 0.
+    """
     n = len(start)
     order = np.argsort(group, kind="stable")
     rank = group[order]
@@ -108,7 +117,7 @@ def deep_shallow(text: np.ndarray, start: np.ndarray, group: np.ndarray, depth:
         fresh[tied[1:]] = digit[1:] != digit[:-1]
         fresh[1:] |= label[1:] != label[:-1]
         label = np.cumsum(fresh)
-    equal = np.zeros(n, bool)
+    common = np.zeros(n, np.int64)
     if n and depth > SHALLOW:
         size = np.bincount(label)
         head = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
@@ -117,7 +126,7 @@ def deep_shallow(text: np.ndarray, start: np.ndarray, group: np.ndarray, depth:
             own = order[h : h + m]
             found, shared = blind_trie([raw[s : s + depth] for s in start[own].tolist()])
             order[h : h + m] = own[found]
-            equal[h + 1 : h + m] = np.array(shared[1:]) == depth
+            common[h + 1 : h + m] = shared[1:]
     elif n:
-        equal[1:] = label[1:] == label[:-1]
-    return order, equal
+        common[1:] = np.where(label[1:] == label[:-1], depth, 0)
+    return order, common
