@@ -44,11 +44,13 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; also set as Spark's checkpoint folder.
 
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset (tests on one
-    machine) a temporary folder of this machine is made.
+    A cluster names it in spark.checkpoint.dir.  Only where that is unset and Spark runs on
+    this machine alone (tests) a temporary folder is made; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="fathom-checkpoint-")
@@ -176,6 +178,22 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - skip + np.repeat(start, length)
 
 
+#: Keys that a skewed join may treat as heavy at most; their rows are broadcast.
+HEAVY = 1024
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table (key, n: rows of that key, ..; a written table) so that no key lands in one task.
+
+    Keys of more than total / HEAVY rows are at most HEAVY (total: sum of n), so they are broadcast;
+    the others are shuffled.  The column n goes.
+    """
+    heavy = F.broadcast(table.where(F.col("n") > total // HEAVY).drop("n"))
+    light = table.where(F.col("n") <= total // HEAVY).drop("n")
+    rest = rows.join(heavy.select(key), key, "left_anti").join(light, key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, lineage cut, no executor needed.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import WORD_BASE, id_and_text, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
+from .common import WORD_BASE, id_and_text, join_skewed, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
 
 SHINGLE, BANDS, ROWS = 8, 16, 4
 SHARE = (80, 100)
@@ -75,16 +75,19 @@ def bands(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def line_sets(raw: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each line, by their high 48 bits."""
+    """Sorted distinct shingle hashes of each line."""
     out: list[np.ndarray] = []
     for at in range(0, len(raw), 1 << 15):
         lines = Lines([x.decode("utf-8", "surrogatepass") for x in raw[at : at + (1 << 15)]])
         shingle, first = lines.shingles(np.arange(len(lines.start)))
         count = np.diff(np.append(first, len(shingle)))
-        key = np.sort(shingle >> np.uint64(16) | np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(48))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        edge = np.searchsorted(key >> np.uint64(48), np.arange(1, len(count), dtype=np.uint64))
-        out += np.split(key << np.uint64(16), edge)
+        of = np.repeat(np.arange(len(count)).astype(np.uint16), count)
+        order = np.argsort(shingle)
+        order = order[np.argsort(of[order], kind="stable")]
+        token, of = shingle[order], of[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (of[1:] != of[:-1])]) if len(token) else np.zeros(0, bool)
+        token, of = token[new], of[new]
+        out += np.split(token, np.searchsorted(of, np.arange(1, len(count)).astype(np.uint16)))
     return out
 
 
@@ -104,15 +107,20 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["tie"].take(of), pa.array(lines.number[keep]), pa.array(lines.node[keep].view(np.int64))], names=["doc_id", "tie", "line", "node"])
 
     lines = materialize(docs.mapInArrow(list_lines, "doc_id long, tie long, line long, node long"), "lines")
-    bits = linking.bucket_bits(lines.count() * BANDS, 200_000)
+    nodes = materialize(lines.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
+    total, distinct = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = linking.bucket_bits(distinct * BANDS, linking.PER_BUCKET)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small(batches):
-            own = Lines(batch["text"].to_pylist())
-            new = np.array([i for i, x in enumerate(own.node.tolist()) if x and x not in seen and not seen.add(x)], np.int64)
-            if len(new):
-                yield linking.entry_batches(bands(*own.shingles(new)).ravel(), np.repeat(own.node[new], BANDS), bits)
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in small(batches):
+                own = Lines(batch["text"].to_pylist())
+                new = np.array([i for i, x in enumerate(own.node.tolist()) if x and x not in seen and not seen.add(x)], np.int64)
+                yield bands(*own.shingles(new)).ravel(), np.repeat(own.node[new], BANDS)
+
+        yield from linking.send_entries(parts(), bits)
 
     def contents_of(wanted: np.ndarray) -> DataFrame:
         some = spark.sparkContext.broadcast(wanted)
@@ -129,11 +137,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         return docs.mapInArrow(run, "node long, content binary")
 
     linked = linking.components(docs.select("text").mapInArrow(enter, linking.ENTRIES), contents_of, line_sets, accept, "line")
-    place = F.struct("doc_id", "tie", "line")
-    labelled = lines.join(linked, "node", "left").select(place.alias("place"), F.coalesce("component", "node").alias("label"))
-    kept = labelled.groupBy("label").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "kept")
-    lost = labelled.join(kept, "label").where("place > kept").select("place.*").distinct()
-    return lost.groupBy("doc_id", "tie").agg(F.collect_list("line").alias("gone"))
+    # by node first: a very common line is one row until the last join
+    labelled = materialize(nodes.join(linked, "node", "left").select("node", "first", F.col("n").alias("lines"), F.coalesce("component", "node").alias("label")), "line-labels")
+    kept = materialize(labelled.groupBy("label").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines")).where("lines > 1").drop("lines"), "line-kept")
+    kept_of = materialize(join_skewed(labelled.select("label", "node", F.col("lines").alias("rows")), kept, "label", distinct).select("node", "kept", F.col("rows").alias("n")), "line-kept-of")
+    lost = join_skewed(lines, kept_of, "node", total).where(F.struct("doc_id", "tie", "line") > F.col("kept")).select("doc_id", "tie", "line").distinct()
+    return materialize(lost.groupBy("doc_id", "tie").agg(F.collect_list("line").alias("gone")), "line-gone")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

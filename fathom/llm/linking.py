@@ -26,6 +26,8 @@ BLOCK = 512
 CROWD = 2
 #: Bits of the filter that tells which nodes' contents are needed: 2 MB, however many there are.
 FILTER_BITS = 24
+#: Tokens of pairs that are compared at a time.
+TOKENS = 4_000_000
 ENTRY = np.dtype([("key", "<u8"), ("node", "<u8")])
 BUCKETS = 10
 ENTRIES = "bucket int, data binary"
@@ -42,6 +44,25 @@ def entry_batches(key: np.ndarray, node: np.ndarray, bits: int = BUCKETS) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
 
+#: Entries that a task holds before it sends them on, and entries in a bucket: a row sent holds
+#: HELD / buckets entries, so rows grow with the entries as long as there are fewer than HELD buckets.
+HELD, PER_BUCKET = 2_000_000, 1_000_000
+
+
+def send_entries(parts: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """The (key, node) arrays of one task as packed rows."""
+    keys, nodes, size = [], [], 0
+    for key, node in parts:
+        keys.append(key)
+        nodes.append(node)
+        size += len(key)
+        if size >= HELD:
+            yield entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
+            keys, nodes, size = [], [], 0
+    if size:
+        yield entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
+
+
 def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
     return int(np.clip(int(np.ceil(np.log2(max(rows / per_bucket, 1)))), 6, 24))
 
@@ -167,13 +188,20 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 
 
 def pair_overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Intersection size of sets[one[i]] and sets[two[i]] for up to 65536 pairs, by one sort (48 bits a token)."""
+    """Intersection size of sets[one[i]] and sets[two[i]], by one sort over the numbers of their tokens."""
     size = np.array([len(s) for s in sets], np.int64)
-    token = np.concatenate(sets) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
-    begin, both = np.cumsum(size) - size, np.concatenate([one, two])
-    pair = np.tile(np.arange(len(one), dtype=np.uint64), 2)
-    key = np.sort(token[ragged(begin[both], size[both])] | np.repeat(pair, size[both]) << np.uint64(48))
-    return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(one))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.uint64) if sets else np.zeros(0, np.uint64)
+    begin, out = np.cumsum(size) - size, np.zeros(len(one), np.int64)
+    edge = np.cumsum(size[one] + size[two])
+    at = 0
+    while at < len(one):  # a bounded number of tokens at a time
+        to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + TOKENS, side="right")))
+        both = np.concatenate([one[at:to], two[at:to]])
+        pair = np.tile(np.arange(to - at, dtype=np.uint64), 2)
+        key = np.sort(token[ragged(begin[both], size[both])] | np.repeat(pair, size[both]) << np.uint64(32))
+        out[at:to] = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=to - at)
+        at = to
+    return out
 
 
 def only(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:

@@ -4,9 +4,9 @@ If two sets reach the threshold t, then under *any* order of all tokens the firs
 n - ceil(t n) + 1 tokens of each share one.  Candidates come from the prefixes under a first
 order (rare tokens first, from a counting sketch over all documents, ties by a hash); before
 a pair is verified exactly it must also share a prefix token under each further order (same
-rarity, other ties).  Sizes must agree within t as well.  The further filters work on bit
-sketches, an eighth of a set's size: prefixes under the other orders, and all tokens, whose
-bits bound from below how many tokens the sets do not share.
+rarity, other ties): the prefixes themselves are sent and intersected, so what an order
+rejects shares no token of its prefixes.  Sizes must agree within t as well, and bits of all
+tokens bound from below how many tokens the sets do not share.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import Words, id_and_text, materialize, mix64, short_batches, small
+from .common import Words, id_and_text, join_skewed, materialize, mix64, short_batches, small
 
 WORDS = 5
 #: The threshold as a fraction of integers, so that no rounding decides a link.
@@ -27,8 +27,8 @@ SHARE = (80, 100)
 ORDERS = 3
 #: Counters of the rarity sketch: a fixed 1 MB, whatever the size of the corpus.
 SKETCH_BITS, SLICES = 20, 64
-#: Bits of a document's sketch: for all tokens, and for the prefix under each further order.
-ALL_BITS, PREFIX_BITS = 4096, 512
+#: Bits of a document's sketch for all its tokens; the prefixes under the further orders follow, 4 bytes a token.
+ALL_BITS = 4096
 
 
 def gram_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,59 +81,65 @@ def prefix(token: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 
 
 def to_content(token: np.ndarray) -> bytes:
-    """The high 40 bits of each hash: two unequal n-grams of a pair agree in them once in a million pairs."""
-    return np.ascontiguousarray(token).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return np.ascontiguousarray(token).tobytes()
 
 
 def from_content(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(raw, np.uint64)
 
 
 def sketch(token: np.ndarray, levels: np.ndarray) -> bytes:
-    """Size, bits of all tokens, bits of the prefixes under the further orders."""
-    bits = np.zeros(ALL_BITS + (ORDERS - 1) * PREFIX_BITS, np.uint8)
+    """Size, bits of all tokens, and the prefix under each further order (the high 32 bits of its tokens, sorted)."""
+    bits = np.zeros(ALL_BITS, np.uint8)
     bits[(token >> np.uint64(24)).astype(np.int64) % ALL_BITS] = 1
-    for order in range(1, ORDERS):
-        some = prefix(token, levels, order)
-        bits[ALL_BITS + (order - 1) * PREFIX_BITS + (some >> np.uint64(24)).astype(np.int64) % PREFIX_BITS] = 1
-    return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes()
-
-
-def _read(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and bits."""
-    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    return np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:]).view(np.uint64)
-
-
-def _may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows that may link: enough tokens may be common, and prefixes meet under every order."""
-    every, words = x[..., : ALL_BITS // 64], PREFIX_BITS // 64
-    other = y[..., : ALL_BITS // 64]
-    both = np.bitwise_count(every & other).sum(-1, dtype=np.int64)
-    only_x, only_y = np.bitwise_count(every).sum(-1, dtype=np.int64) - both, np.bitwise_count(other).sum(-1, dtype=np.int64) - both
-    out = accept(np.minimum(n - only_x, m - only_y), n, m)
-    for at in range(ALL_BITS // 64, x.shape[-1], words):
-        out &= (x[..., at : at + words] & y[..., at : at + words]).any(axis=-1)
-    return out
+    prefixes = [np.sort((prefix(token, levels, order) >> np.uint64(32)).astype("<u4")) for order in range(1, ORDERS)]
+    return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes() + b"".join(p.tobytes() for p in prefixes)
+
+
+class Sketches:
+    """Sizes, bits and prefixes (by order, then document) of some sketches."""
+
+    def __init__(self, raw: list[bytes]):
+        head = 8 + ALL_BITS // 8
+        grid = np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(raw), head)
+        self.size = np.ascontiguousarray(grid[:, :8]).view("<i8").ravel()
+        self.bits = np.ascontiguousarray(grid[:, 8:]).view(np.uint64)
+        length = prefix_lengths(self.size).tolist()
+        self.prefixes = [[np.frombuffer(r, "<u4", n, head + 4 * n * order) for r, n in zip(raw, length, strict=True)] for order in range(ORDERS - 1)]
+
+
+def enough(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows whose bits leave room for enough common tokens."""
+    both = np.bitwise_count(x & y).sum(-1, dtype=np.int64)
+    only_x, only_y = np.bitwise_count(x).sum(-1, dtype=np.int64) - both, np.bitwise_count(y).sum(-1, dtype=np.int64) - both
+    return accept(np.minimum(n - only_x, m - only_y), n, m)
 
 
 def sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    return _may_link(*_read(left), *_read(right))
+    """Pairs that may link: each further order's prefixes meet, then the bits."""
+    number: dict[bytes, int] = {}
+    one, two = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (left, right))
+    own = Sketches(list(number))
+    live = np.arange(len(one))
+    for prefixes in own.prefixes:
+        live = live[linking.pair_overlaps(prefixes, one[live], two[live]) > 0]
+    live = live[enough(own.size[one[live]], own.bits[one[live]], own.size[two[live]], own.bits[two[live]])]
+    out = np.zeros(len(one), bool)
+    out[live] = True
+    return out
 
 
 def sieve_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
-    """All pairs of two lists that may link; the right ones in order of size, so only sizes within the threshold are looked at."""
-    (n, x), (m, y) = _read(left), _read(right)
-    order = np.argsort(m, kind="stable")
-    m, y = m[order], y[order]
-    low = np.searchsorted(m, -(-n * SHARE[0] // SHARE[1]))
-    high = np.searchsorted(m, n * SHARE[1] // SHARE[0], side="right")
-    for i in range(len(n)):
-        part = slice(low[i], high[i])
-        for j in np.flatnonzero(_may_link(n[i], x[i], m[part], y[part])).tolist():
-            yield i, int(order[low[i] + j])
+    """All pairs of two lists that may link: sizes, an inverted index over each further order's prefixes, then the bits."""
+    p, q = Sketches(left), Sketches(right)
+    meeting = [linking.overlaps(a, b) for a, b in zip(p.prefixes, q.prefixes, strict=True)]
+    for i, n in enumerate(p.size):
+        hit = (SHARE[1] * q.size >= SHARE[0] * n) & (SHARE[1] * n >= SHARE[0] * q.size)
+        for order in meeting:
+            hit &= next(order)[1] > 0
+        j = np.flatnonzero(hit)
+        for k in j[enough(n, p.bits[i], q.size[j], q.bits[j])].tolist():
+            yield i, k
 
 
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -187,25 +193,23 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     rows, levels = nodes_of(docs)
     shared = spark.sparkContext.broadcast(levels)
-    bits = linking.bucket_bits(rows.count() * 100, 100_000)
+    nodes = materialize(rows.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "ngram-sets")
+    total, distinct, tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bits = linking.bucket_bits(tokens * (SHARE[1] - SHARE[0]) // SHARE[1] + distinct, linking.PER_BUCKET)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, nodes, held = [], [], 0
-        for batch in small(batches):
-            size, token, node = _once(batch, seen)
-            of = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((rarity(token, shared.value, 0), of))
-            rank = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            chosen = order[rank < np.repeat(prefix_lengths(size), size)]
-            keys.append(token[chosen])
-            nodes.append(node[of[chosen]])
-            held += len(chosen)
-            if held > 2_000_000:
-                yield linking.entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
-                keys, nodes, held = [], [], 0
-        if held:
-            yield linking.entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in small(batches):
+                size, token, node = _once(batch, seen)
+                of = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((rarity(token, shared.value, 0), of))
+                rank = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                chosen = order[rank < np.repeat(prefix_lengths(size), size)]
+                yield token[chosen], node[of[chosen]]
+
+        yield from linking.send_entries(parts(), bits)
 
     def contents_of(wanted: np.ndarray) -> DataFrame:
         some = spark.sparkContext.broadcast(wanted)
@@ -220,17 +224,19 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         return docs.mapInArrow(run, "node long, content binary, sketch binary")
 
-    sizes = rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"))
+    sizes = nodes.select("node", F.col("n_shingles").alias("n"))
 
     def sift(pairs: DataFrame) -> DataFrame:
         one, two = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
         return pairs.join(one, "a").join(two, "b").where(f"{SHARE[1]} * least(n_a, n_b) >= {SHARE[0]} * greatest(n_a, n_b)").select("a", "b")
 
     linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, sieve, sieve_sets)
-    labelled = rows.join(linked, "node", "left").withColumn("label", F.when(F.col("node") != 0, F.coalesce("component", "node")))
-    least = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1 and label is not null")
-    own = F.coalesce("least", F.struct("doc_id", "tie")).alias("first")
-    return labelled.join(least, "label", "left").select("doc_id", "tie", "n_shingles", own)
+    # by distinct set first: a third of all rows may be one text
+    own = materialize(nodes.join(linked, "node", "left").select("node", "least", F.col("n").alias("rows"), F.coalesce("component", "node").alias("label")), "ngram-labels")
+    least = materialize(own.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "ngram-least")
+    first = materialize(join_skewed(own.select("label", "node", "rows"), least, "label", distinct).select("node", "first", F.col("rows").alias("n")), "ngram-first")
+    some = join_skewed(rows, first, "node", total).select("doc_id", "tie", "n_shingles", "first")
+    return some.unionByName(rows.where("node = 0").select("doc_id", "tie", "n_shingles", F.struct("doc_id", "tie").alias("first")))
 
 
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
