@@ -32,13 +32,15 @@ from .linking import bucket_bits, needed, passes
 ENTRY = np.dtype([("core", "<u8"), ("context", "<u4"), ("stands", "<u4"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u2"), ("lead", "<u2"), ("many", "u1")])
 #: Entries that a task holds before it sends them on, and entries in a bucket.  Rows sent are
 #: entries / HELD x buckets; both are large, so a row holds many entries at any size.
-HELD, PER_BUCKET = 1_000_000, 600_000
+HELD, PER_BUCKET = 500_000, 400_000
 #: Surroundings of one core that a task sends as entries of their own; the rest is only counted.
 SEEN = 256
 #: Surroundings of one core from which on its windows are dealt one by one.
 HOT = 2000
-#: Bytes of units that a task holds to send equal ones once.
-HELD_BYTES = 24 << 20
+#: Bytes that a task holds (units, and so much for each place) to send equal units once.
+HELD_BYTES, PLACE_BYTES = 12 << 20, 400
+#: Pieces in a group of the solver, about; a core's pieces stay together.
+PER_GROUP = 4000
 FOUND = "doc long, tie long, start long, n long, core long, lead long, hot boolean"
 PIECES = "bucket long, core long, lead long, doc long, tie long, start long, n long, many boolean, units binary"
 LOWEST = -(2**63)
@@ -224,13 +226,14 @@ def candidates(docs: DataFrame, units: Units, scale: Scale, bits: int, name: str
     return materialize(docs.mapInArrow(index, "bucket long, data binary").groupBy("bucket").applyInArrow(lambda table: opened(table, scale.hot), FOUND), name)
 
 
-def solved(docs: DataFrame, chunks: DataFrame, units: Units, depth: int, bits: int, solve: Solver, settle: Callable[[list[tuple], tuple], tuple], schema: str) -> DataFrame:
+def solved(docs: DataFrame, chunks: DataFrame, units: Units, depth: int, solve: Solver, settle: Callable[[list[tuple], tuple], tuple], schema: str) -> DataFrame:
     """Rows of the solver over the units of the chunks; a group holds one core's chunks.
 
     Of equal pieces in a task the least place is sent; what is known of the others is a row of
     settle(their place, n and units' size, the least place), under a negative bucket.
     """
     rows = with_spans(docs, chunks, ["start", "n", "core", "lead"], "open").select("doc", "tie", "text", "open")
+    bits = bucket_bits(chunks.count(), PER_GROUP)
     names = [f.split()[0] for f in PIECES.split(", ")]
     out_names = [f.split()[0] for f in schema.split(", ")]
 
@@ -267,7 +270,7 @@ def solved(docs: DataFrame, chunks: DataFrame, units: Units, depth: int, bits: i
                 raw = raw_of(a, b)
                 places = held.setdefault((c, x, raw), set())
                 places.add((doc[t], tie[t], s, m))
-                size += 100 + (len(raw) if len(places) == 1 else 0)
+                size += PLACE_BYTES + (len(raw) if len(places) == 1 else 0)
             if size > HELD_BYTES:
                 yield flush(held)
                 yield rest(held)
@@ -308,8 +311,8 @@ def repeated(df: DataFrame, id_col: str, text_col: str, units: Units, scale: Sca
         for window in windows:
             one = Scale(window, window, 1, window, scale.hot)
             single = candidates(crowded, units, one, bits, f"{name}-windows")
-            out.append(solved(text, single, units, window, bits, solve, settle, schema))
-    rows = solved(text, rare, units, scale.depth, bits, solve, settle, schema)
+            out.append(solved(text, single, units, window, solve, settle, schema))
+    rows = solved(text, rare, units, scale.depth, solve, settle, schema)
     for more in out:
         rows = rows.unionByName(more)
     return docs, twins, materialize(rows, f"{name}-spans")

@@ -33,6 +33,8 @@ def common_prefix(a: bytes, b: bytes) -> int:
 def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     """Order of strings of one length, and each one's common prefix with the one before it."""
     depth = len(strings[0])
+    if len(strings) == 2:  # one branching at most
+        return [0, 1] if strings[0] <= strings[1] else [1, 0], [0, common_prefix(*strings)]
     same: dict[int, list[int]] = {0: [0]}
     root: _Node | None = None
     for i in range(1, len(strings)):
