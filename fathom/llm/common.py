@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Iterator
@@ -178,6 +179,16 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - skip + np.repeat(start, length)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers, and with them their peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 #: Keys that a skewed join may treat as heavy at most; their rows are broadcast.
 HEAVY = 1024
 

@@ -1,16 +1,19 @@
 """Personal data: fixed base patterns, and identifiers discovered from their contexts.
 
-Base entities are the seeds of a bootstrap.  Candidates are words, and runs of digit groups with the separators
-that seeds have (space, hyphen, dot, parentheses).  A lexical pattern is the pair of words before
-an identifier; an instance is the identifier's text.  Spark scores the graph of patterns and
-instances in rounds: a pattern's confidence in a kind is the share of that kind among the
-distinct identifier-like instances it introduces, an unlabelled instance's score in a kind
-is the noisy-or of the confidences of its patterns.  Instances that reach the acceptance
-score through patterns with enough seeds become spans of that kind.
+Base entities are the seeds of a bootstrap.  Candidates are words, and runs of digit groups
+with the separators that seeds have (space, hyphen, dot, parentheses).  Lexical patterns of
+an identifier are the two words before it, the two words after it, and its own shape (letters
+and digits by class); an instance is the identifier's text.  Spark scores the graph of
+patterns and instances in rounds: a pattern's confidence in a kind is the share of that kind
+among the distinct identifier-like instances it introduces; an unlabelled instance's score in
+a kind is that of its surest pattern with enough seeds (patterns of one place overlap, so
+their confidences are not combined).  Instances that reach the acceptance score are seeds of
+the next round, and spans of that kind in the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, short_batches
+from .common import id_and_text, join_skewed, materialize, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -26,8 +29,10 @@ ROUNDS = 3
 SUPPORT, ACCEPT = 4.0, 0.8
 #: An identifier-like word has so many digits at least, or an @.
 DIGITS = 5
-#: Digits and characters of a candidate at most; a longer run of groups is cut between groups.
+#: Digits and characters of a run of groups; a longer one is cut between groups.
 MOST_DIGITS, MOST_CHARS = 19, 64
+#: Characters from which on a pattern or instance is held as its hash.
+LONG = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +42,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9]+|@")
 _GROUPS = re.compile(r"(?<!\w)\+?\(?[0-9]++(?:(?:\.|[\x20()-]{1,3})[0-9]++)+(?!\w)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _GROUP = re.compile(r"[0-9]+")
 _LUHN = str.maketrans("0123456789", "0246813579")
 
@@ -71,10 +77,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def context(text: str, start: int) -> str:
+def _short(text: str) -> str:
+    return text if len(text) <= LONG else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def before(text: str, start: int) -> str:
     """The two words before start, lower-cased, digits as #."""
-    words = text[max(0, start - 120) : start].lower().split()[-2:]
-    return re.sub("[0-9]", "#", " ".join(words)) or "^"
+    size = LONG
+    while True:
+        part = text[max(0, start - size) : start]
+        words = part.split()
+        if size >= start or len(words) > 2 or (len(words) == 2 and part[0].isspace()):
+            return _short(re.sub("[0-9]", "#", " ".join(words[-2:]).lower())) or "^"
+        size *= 2
+
+
+def after(text: str, end: int) -> str:
+    """The two words after end, lower-cased, digits as #; what is left of the identifier's own word counts as one."""
+    size = LONG
+    while True:
+        part = text[end : end + size]
+        words = part.split()
+        if end + size >= len(text) or len(words) > 2 or (len(words) == 2 and part[-1].isspace()):
+            return _short(re.sub("[0-9]", "#", " ".join(words[:2]).lower())) or "$"
+        size *= 2
+
+
+def shape(instance: str) -> str:
+    """Digits as 9, runs of letters as a, the rest as it is."""
+    return _short(_LETTERS.sub("a", re.sub("[0-9]", "9", instance)))
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    return [f"before {before(text, start)}", f"after {after(text, end)}", f"shape {shape(text[start:end])}"]
 
 
 def identifier_words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -98,7 +133,7 @@ def identifier_words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[t
             left += 1
         while right > left and not text[right - 1].isalnum():
             right -= 1
-        if right - left <= MOST_CHARS and (len(_digits(text[left:right])) >= DIGITS or "@" in text[left:right]):
+        if len(_digits(text[left:right])) >= DIGITS or "@" in text[left:right]:
             yield left, right
 
 
@@ -130,14 +165,14 @@ def identifier_runs(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tu
             k = max(last, k + 1)
 
 
-FOUND = "doc_id long, tie long, base array<struct<kind:int,start:long,end:long>>, seen array<struct<kind:int,start:long,end:long,pattern:string,instance:string>>"
+FOUND = "doc_id long, tie long, base array<struct<kind:int,start:long,end:long>>, seen array<struct<kind:int,start:long,end:long,patterns:array<string>,instance:string>>"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One pass over the texts: base spans, and all identifiers (kind -1: unlabelled) with their contexts."""
     short_batches(df.sparkSession)
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    seen = pa.struct([*span, ("pattern", pa.string()), ("instance", pa.string())])
+    seen = pa.struct([*span, ("patterns", pa.list_(pa.string())), ("instance", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +180,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             for text in batch["text"].to_pylist():
                 own = base_spans(text)
                 base.append(own)
-                other.append([(k, s, e, context(text, s), text[s:e].lower()) for k, s, e in (*own, *((-1, s, e) for s, e in (*identifier_words(text, own), *identifier_runs(text, own))))])
+                other.append([(k, s, e, patterns(text, s, e), _short(text[s:e].lower())) for k, s, e in (*own, *((-1, s, e) for s, e in (*identifier_words(text, own), *identifier_runs(text, own))))])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array([[dict(zip(span.names, x, strict=True)) for x in row] for row in base], pa.list_(span)), pa.array([[dict(zip(seen.names, x, strict=True)) for x in row] for row in other], pa.list_(seen))], names=["doc_id", "tie", "base", "seen"])
 
     return id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text")).mapInArrow(run, FOUND)
@@ -155,21 +190,24 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, a
     """Unlabelled instances that the graph accepts: instance, kind, score.
 
     seen: kind, pattern, instance, one row per occurrence.  Edges are distinct pairs, so a
-    copied document adds nothing.  Both joins are on a unique side of scores.
+    copied document adds nothing.  A pattern may have a third of all edges, so joins on it are
+    split (join_skewed).  Ties between kinds go to the one listed first.  Without rows, or
+    without a pattern of enough seeds, nothing is accepted.
     """
-    edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    total = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pii-patterns")
+    every = edges.count()
     scores = None
     for _ in range(rounds):
         labelled = edges.where("kind >= 0").select("pattern", F.col("kind").alias("of"), F.lit(1.0).alias("part"))
         if scores is not None:
-            labelled = labelled.unionByName(edges.where("kind < 0").join(scores, "instance").select("pattern", "of", F.col("score").alias("part")))
+            labelled = labelled.unionByName(edges.where("kind < 0").join(scores.where(F.col("score") >= accept), "instance").select("pattern", "of", F.col("score").alias("part")))
         mass = labelled.groupBy("pattern", "of").agg(F.sum("part").alias("mass"))
-        total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        sure = mass.where(F.col("mass") >= support).join(total, "pattern").select("pattern", "of", (F.col("mass") / (F.col("n") + 1)).alias("sure"))
-        reached = edges.where("kind < 0").join(sure, "pattern").groupBy("instance", "of").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("sure", F.lit(0.999))))), 9).alias("score"))
-        scores = materialize(reached, "pii-scores")
-    best = scores.groupBy("instance").agg(F.max(F.struct("score", F.negative("of").alias("of"))).alias("best"))
-    return best.select("instance", F.negative("best.of").alias("kind"), F.col("best.score").alias("score")).where(F.col("score") >= accept)
+        sure = mass.where(F.col("mass") >= support).join(total, "pattern").select("pattern", "of", (F.col("mass") / (F.col("n") + 1)).alias("sure"), "n")
+        best = materialize(sure.groupBy("pattern").agg(F.max(F.struct("sure", F.negative("of").alias("of"))).alias("best"), F.first("n").alias("n")).where(F.col("best.sure") >= accept / 2), "pii-sure")
+        reached = join_skewed(edges.where("kind < 0"), best, "pattern", every).groupBy("instance").agg(F.max("best").alias("best"))
+        scores = materialize(reached.select("instance", F.negative("best.of").alias("of"), F.round("best.sure", 9).alias("score")), "pii-scores")
+    return scores.select("instance", F.col("of").alias("kind"), "score").where(F.col("score") >= accept)
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +219,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     found = materialize(scan(df, id_col, text_col), "pii-found")
     seen = found.select("doc_id", "tie", F.explode("seen").alias("x")).select("doc_id", "tie", "x.*")
-    taken = bootstrap(seen)
+    taken = bootstrap(seen.select("kind", F.explode("patterns").alias("pattern"), "instance"))
     more = seen.where("kind < 0").drop("kind").join(taken, "instance").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
     more = more.withColumn("more", F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y))))

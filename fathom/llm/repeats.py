@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import id_and_text, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
+from .common import give_back, id_and_text, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
 from .linking import bucket_bits, needed, passes
 
 ENTRY = np.dtype([("core", "<u8"), ("context", "<u4"), ("stands", "<u4"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u2"), ("lead", "<u2"), ("many", "u1")])
 #: Entries that a task holds before it sends them on, and entries in a bucket.  Rows sent are
 #: entries / HELD x buckets; both are large, so a row holds many entries at any size.
-HELD, PER_BUCKET = 500_000, 400_000
+HELD, PER_BUCKET = 300_000, 300_000
 #: Surroundings of one core that a task sends as entries of their own; the rest is only counted.
 SEEN = 256
 #: Surroundings of one core from which on its windows are dealt one by one.
-HOT = 2000
+HOT = 16_000
 #: Bytes that a task holds (units, and so much for each place) to send equal units once.
 HELD_BYTES, PLACE_BYTES = 12 << 20, 400
 #: Pieces in a group of the solver, about; a core's pieces stay together.
@@ -139,8 +139,10 @@ def send_all(parts: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]
         if size >= HELD:
             yield sent(*thinned(np.concatenate(held)), bits)
             held, size = [], 0
+            give_back()
     if size:
         yield sent(*thinned(np.concatenate(held)), bits)
+    give_back()
 
 
 def opened(table: pa.Table, most: int) -> pa.Table:
@@ -275,9 +277,11 @@ def solved(docs: DataFrame, chunks: DataFrame, units: Units, depth: int, solve:
                 yield flush(held)
                 yield rest(held)
                 held, size = {}, 0
+                give_back()
         if held:
             yield flush(held)
             yield rest(held)
+        give_back()
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

@@ -34,19 +34,38 @@ def _words(texts: pa.Array) -> tuple:
     return words.hash, GRAM_BASE, words.first, lambda a, b: words.hash[a:b].tobytes()
 
 
-def parse(piece: bytes, starts: int, lead: int, index: dict[tuple[int, bytes], tuple], window: int) -> list[tuple[int, int, tuple]]:
-    """Greedy factors (offset, words, place of the reference) of a piece of word hashes; windows begin at `starts` offsets.
-
-    index: the place of each run of at least `window` words by its distance from the core.
-    """
-    out, at, size = [], 0, len(piece) // WORD
+class Block:
+    """Indexed pieces of one block: each run of at least `window` words, by a hash of it and its distance from the core."""
+
+    def __init__(self, window: int):
+        self.window, self.pieces, self.at = window, [], {}
+
+    def add(self, piece: bytes, starts: int, lead: int) -> None:
+        number = len(self.pieces)
+        self.pieces.append(piece)
+        for a in range(starts):
+            for b in range(a + self.window, len(piece) // WORD + 1):
+                self.at.setdefault(hash((lead - a, piece[a * WORD : b * WORD])), (number << 16) + a)
+
+    def find(self, run: bytes, distance: int) -> tuple[int, int] | None:
+        """Number and offset of the first piece with that run; the words are compared."""
+        found = self.at.get(hash((distance, run)))
+        if found is None:
+            return None
+        number, a = found >> 16, found & 0xFFFF
+        return (number, a) if self.pieces[number].startswith(run, a * WORD) else None
+
+
+def parse(piece: bytes, starts: int, lead: int, block: Block) -> list[tuple[int, int, tuple[int, int]]]:
+    """Greedy factors (offset, words, number and offset of the reference) of a piece of word hashes; windows begin at `starts` offsets."""
+    out, at, size, window = [], 0, len(piece) // WORD, block.window
     while at < starts:
         low = at + window
-        place = index.get((lead - at, piece[at * WORD : low * WORD])) if low <= size else None
+        place = block.find(piece[at * WORD : low * WORD], lead - at) if low <= size else None
         if place is None:
             at += 1
             continue
-        while low < size and (longer := index.get((lead - at, piece[at * WORD : (low + 1) * WORD]))) is not None:
+        while low < size and (longer := block.find(piece[at * WORD : (low + 1) * WORD], lead - at)) is not None:
             low, place = low + 1, longer
         out.append((at, low - at, place))
         at = low - window + 1
@@ -66,7 +85,7 @@ def parse_block(table: pa.Table, window: int) -> pa.Table:
         to = at + 1
         while to < len(core) and core[to] == core[at]:
             to += 1
-        index: dict[tuple[int, bytes], tuple] = {}
+        block, places = Block(window), []
         known: dict[tuple[int, bytes], tuple] = {}
         for i in range(at, to if to - at > 1 else at):
             place = doc[i], tie[i], start[i]
@@ -75,12 +94,11 @@ def parse_block(table: pa.Table, window: int) -> pa.Table:
                 out.append((*place, len(raw[i]) // WORD, *first))
             if first is not place:  # (or a repeated row, which is no earlier place)
                 continue
-            size = len(raw[i]) // WORD
-            out += [(*place[:2], place[2] + a, m, *ref) for a, m, ref in parse(raw[i], n[i], lead[i], index, window)]
+            for a, m, (number, ref) in parse(raw[i], n[i], lead[i], block):
+                out.append((*place[:2], place[2] + a, m, *places[number][:2], places[number][2] + ref))
             if i + 1 < to:
-                for a in range(n[i]):
-                    for b in range(a + window, size + 1):
-                        index.setdefault((lead[i] - a, raw[i][a * WORD : b * WORD]), (*place[:2], place[2] + a))
+                block.add(raw[i], n[i], lead[i])
+                places.append(place)
         at = to
     columns = list(zip(*out, strict=True)) or [()] * len(NAMES)
     return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(NAMES, columns, strict=True)})
