@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 #: Unicode white space as Python's str.split sees it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
+#: The characters of SPACE, one by one, but for the space: a split at one fixed character needs no regular expression.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words: ASCII punctuation counts as white space; no stemming, no stop words."""
     column = F.col(text) if isinstance(text, str) else text
-    plain = F.translate(F.lower(column), string.punctuation, " " * len(string.punctuation))
-    return F.filter(F.split(plain, SPACE + "+"), lambda t: t != "")
+    apart = string.punctuation + _SPACES
+    return F.filter(F.split(F.translate(F.lower(column), apart, " " * len(apart)), " "), lambda t: t != "")
 
 
 def strip(text: Column) -> Column:
