@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: Distinct seeds (by score) that a pattern needs, and the score that accepts an instance.
 SUPPORT, ACCEPT = 4.0, 0.8
+#: A shape tells nothing of the place, so it counts from this confidence on.
+SURE_SHAPE = 0.9
 #: An identifier-like word has so many digits at least, or an @.
 DIGITS = 5
 #: Digits and characters of a run of groups; a longer one is cut between groups.
@@ -204,6 +206,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, a
             labelled = labelled.unionByName(edges.where("kind < 0").join(scores.where(F.col("score") >= accept), "instance").select("pattern", "of", F.col("score").alias("part")))
         mass = labelled.groupBy("pattern", "of").agg(F.sum("part").alias("mass"))
         sure = mass.where(F.col("mass") >= support).join(total, "pattern").select("pattern", "of", (F.col("mass") / (F.col("n") + 1)).alias("sure"), "n")
+        sure = sure.where(~F.col("pattern").startswith("shape ") | (F.col("sure") >= SURE_SHAPE))
         best = materialize(sure.groupBy("pattern").agg(F.max(F.struct("sure", F.negative("of").alias("of"))).alias("best"), F.first("n").alias("n")).where(F.col("best.sure") >= accept / 2), "pii-sure")
         reached = join_skewed(edges.where("kind < 0"), best, "pattern", every).groupBy("instance").agg(F.max("best").alias("best"))
         scores = materialize(reached.select("instance", F.negative("best.of").alias("of"), F.round("best.sure", 9).alias("score")), "pii-scores")

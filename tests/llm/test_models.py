@@ -182,3 +182,17 @@ def test_pipeline_removes_repeated_rows(spark):
     out = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, SF), SF)
     assert out.columns == docs.columns
     assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == Counter({(i, t or "") for i, t in rows})
+
+
+def test_bootstrap_by_shape_and_what_follows(spark):
+    """A number whose base match fails as it runs into another one has the shape of the seeds; long identifiers count too."""
+    rows = [(i, f"w{i} x{i} +1 (376) 555-43{i:02d} y{i} z{i}") for i in range(20)]
+    rows += [(20, "p q +1 (843) 555-7672 170.106.47.218 r s"), (21, "p q 1234567 r s")]
+    rows += [(30 + i, f"a{i} b{i} u{i}@host.org is my address") for i in range(12)]
+    long = "9" * 70 + "@x"
+    rows += [(50, f"m n {long} is my address")]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    text = rows[20][1]
+    assert found[20]["n_phone"] == 0 and f"phone:{text.index('+')}:{text.index(' 170')}" in found[20]["spans"].split(",")
+    assert found[50]["spans"] == f"email:4:{4 + len(long)}" and found[21]["spans"] == ""
+    assert all(found[i]["n_discovered"] == 0 for i in range(20))
