@@ -3,8 +3,8 @@
 The suffixes that can repeat (repeats.py finds where they lie) are sorted in groups that are
 fixed by content, so a suffix and all that agree with it are in one group: multikey quicksort
 to a shallow depth, then blind tries (suffix_sort).  Neighbours in that order tell each
-suffix's longest common prefix with any other, up to `window` bytes.  From `window` bytes on
-the string repeats and goes; from `shared` bytes on it is reported only.
+suffix's longest common prefix with any other, up to `window` bytes, from which on the string
+repeats and goes.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from . import repeats
 from .common import GRAM_BASE, joined, ragged
 from .suffix_sort import sorted_suffixes
 
-#: A string of WINDOW bytes that starts elsewhere too is removed; one of SHARED bytes, about 50 words, is counted.
-WINDOW, SHARED = 400, 256
-GRAM, CHUNK = 64, 128
+#: A string of WINDOW bytes that starts elsewhere too is removed.
+WINDOW, GRAM, CHUNK = 400, 64, 128
 #: Bytes per entry of the routing, for the number of buckets.
 ENTRY_BYTES = 70
 #: UTF-8 never has this byte: it ends the suffixes that reach their text's end.
 END = 0xFF
-SPANS = "doc long, tie long, start long, n long, kind long"
+SPANS = "doc long, tie long, start long, n long"
 
 
 def _bytes(texts: pa.Array) -> tuple:
@@ -35,22 +34,19 @@ def _bytes(texts: pa.Array) -> tuple:
     return buf.astype(np.uint64) + np.uint64(1), GRAM_BASE, first, lambda a, b: buf[a:b].tobytes()
 
 
-def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray, size: np.ndarray, lengths: tuple[int, ...]) -> list[tuple]:
+def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray, size: np.ndarray, window: int) -> tuple:
     """Spans of pieces of which every suffix repeats: n starts, size bytes."""
-    out = []
-    for kind in lengths:
-        starts = np.minimum(n, size - kind + 1)
-        hit = starts > 0
-        out.append((doc[hit], tie[hit], start[hit], starts[hit] + kind - 1, np.full(int(hit.sum()), kind)))
-    return out
+    starts = np.minimum(n, size - window + 1)
+    hit = starts > 0
+    return doc[hit], tie[hit], start[hit], starts[hit] + window - 1
 
 
 def _table(parts: list[tuple]) -> pa.Table:
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-    return pa.table(dict(zip(("doc", "tie", "start", "n", "kind"), map(pa.array, columns), strict=True)))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+    return pa.table(dict(zip(("doc", "tie", "start", "n"), map(pa.array, columns), strict=True)))
 
 
-def sort_group(table: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
+def sort_group(table: pa.Table, window: int) -> pa.Table:
     """Repeated spans among the pieces of one bucket, by the order of their suffixes."""
     names = ("core", "lead", "doc", "tie", "start", "n")
     column = [table[c].to_numpy() for c in names]
@@ -67,13 +63,12 @@ def sort_group(table: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
     which = np.array([number.setdefault(k, len(number)) for k in zip(core.tolist(), lead.tolist(), raw, strict=True)])
     many = np.bincount(which, weights=many) + np.bincount(which) > 1
     sure = many[which]
-    parts = _spans(doc[sure], tie[sure], start[sure], n[sure], size[sure], lengths)
+    parts = [_spans(doc[sure], tie[sure], start[sure], n[sure], size[sure], window)]
     one = np.unique(which, return_index=True)[1]
     together = np.unique(core[one], return_inverse=True)[1]
     one = one[np.bincount(together)[together] > 1]  # with other pieces of the core
-    depth = max(lengths)
     count, long = n[one], size[one]
-    pad = count + depth - 1
+    pad = count + window - 1
     text = np.full(int(pad.sum()), END, np.uint8)
     begin = np.cumsum(pad) - pad
     text[ragged(begin, long)] = np.frombuffer(b"".join(raw[i] for i in one.tolist()), np.uint8)
@@ -82,50 +77,46 @@ def sort_group(table: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
     # equal strings lie equally far before their core, so only those are sorted together
     shift = (lead[one][of] - (suffix - begin[of])).astype(np.uint64)
     group = core[one][of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + shift if len(of) else np.zeros(0, np.uint64)
-    order, common = sorted_suffixes(text, suffix, group, depth)
+    order, common = sorted_suffixes(text, suffix, group, window)
     common = np.minimum(common, np.minimum(left[order], np.concatenate([[0], left[order][:-1]]))) if len(order) else common
     best = np.zeros(len(order), np.int64)
     best[order] = np.maximum(common, np.append(common[1:], 0)) if len(order) else 0
-    for kind in lengths:
-        hit = np.flatnonzero(best >= kind)
-        if len(hit):
-            head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])]))
-            last = np.append(head[1:], len(hit)) - 1
-            row = of[hit[head]]
-            at = one[row]
-            parts.append((doc[at], tie[at], start[at] + suffix[hit[head]] - begin[row], hit[last] - hit[head] + kind, np.full(len(row), kind)))
+    hit = np.flatnonzero(best >= window)
+    if len(hit):
+        head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])]))
+        last = np.append(head[1:], len(hit)) - 1
+        row = of[hit[head]]
+        at = one[row]
+        parts.append((doc[at], tie[at], start[at] + suffix[hit[head]] - begin[row], hit[last] - hit[head] + window))
     return _table(parts)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, with_bytes: bool = True, shared: int = SHARED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and, unless with_bytes is false, kept (binary).
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless with_bytes is false, kept (binary).
 
     A byte goes if a string of `window` bytes over it also starts anywhere else, in this
-    document or another.  n_shared counts the bytes below such strings of `shared` bytes
-    (window at most), which stay.  Null and empty texts have no bytes.  Rows of equal id and
-    text are one document, which does not repeat itself, and get equal results; an empty table
-    gives none.
+    document or another.  Null and empty texts have no bytes.  Rows of equal id and text are
+    one document, which does not repeat itself, and get equal results; an empty table gives
+    none.
     """
-    shared = min(shared, window)
-    lengths = (window, shared) if shared < window else (window,)
-    scale = repeats.Scale(shared, min(gram, shared), min(chunk, shared - min(gram, shared) + 1), window, repeats.HOT)
+    scale = repeats.Scale(window, min(gram, window), min(chunk, window - min(gram, window) + 1), window, repeats.HOT)
 
     def settle(place: tuple, first: tuple) -> tuple:
-        return tuple(_table(_spans(*place, first[4], lengths)).columns)
+        return tuple(_table([_spans(*place, first[4], window)]).columns)
 
-    docs, twins, rows = repeats.repeated(df, id_col, text_col, _bytes, scale, lengths, ENTRY_BYTES, lambda table: sort_group(table, lengths), settle, SPANS, "suffix")
-    whole = twins.select("doc", "tie", F.lit(0).cast("long").alias("start"), F.lit(repeats.WHOLE).alias("n"), F.lit(0).cast("long").alias("kind"))
+    docs, twins, rows = repeats.repeated(df, id_col, text_col, _bytes, scale, (window,), ENTRY_BYTES, lambda table: sort_group(table, window), settle, SPANS, "suffix")
+    whole = twins.select("doc", "tie", F.lit(0).cast("long").alias("start"), F.lit(repeats.WHOLE).alias("n"))
 
     def keep(text: str, cover: list[np.ndarray]) -> tuple:
         raw, at, parts = text.encode(), 0, []
-        start, n, kind = cover
-        copied = bool((kind == 0).any())
-        runs = {k: ([(0, len(raw))] if copied and len(raw) >= k else repeats.merged(start[kind == k], n[kind == k])) for k in lengths}
-        for a, b in runs[window]:
+        start, n, _ = cover
+        runs = ([(0, len(raw))] if len(raw) >= window else []) if (n == repeats.WHOLE).any() else repeats.merged(start, n)
+        for a, b in runs:
             parts.append(raw[at:a])
             at = b
         kept = b"".join([*parts, raw[at:]])
-        return len(raw), len(raw) - len(kept), len(runs[window]), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in runs[shared]), kept if with_bytes else None
+        return len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
 
-    out = repeats.cut(docs, rows.unionByName(whole), keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary", (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))
+    spans = rows.unionByName(whole).withColumn("kind", F.lit(0).cast("long"))
+    out = repeats.cut(docs, spans, keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
     return out if with_bytes else out.drop("kept")

@@ -23,22 +23,22 @@ def corpus():
     return list(enumerate(texts))
 
 
+@pytest.mark.parametrize("window", [250, 120])
 @pytest.mark.parametrize("hot", [2000, 2])
-def test_shared_bytes(spark, corpus, hot, monkeypatch):
+def test_removed_bytes(spark, corpus, hot, window, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    window, shared = 250, 120
+    count = Counter(raw[j : j + window] for raw in (t.encode() for _, t in corpus) for j in range(len(raw) - window + 1))
     want = {}
-    for size in (window, shared):
-        count = Counter(raw[j : j + size] for raw in (t.encode() for _, t in corpus) for j in range(len(raw) - size + 1))
-        for i, t in corpus:
-            raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
-            for j in range(len(raw) - size + 1):
-                if count[raw[j : j + size]] > 1:
-                    gone[j : j + size] = True
-            want[i, size] = int(gone.sum())
-    rows = substring_suffix.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3), window=window, shared=shared, gram=24, chunk=40).collect()
-    assert {r["doc_id"]: (r["n_removed"], r["n_shared"]) for r in rows} == {i: (want[i, window], want[i, shared]) for i, _ in corpus}
-    assert any(r["n_shared"] > r["n_removed"] for r in rows)
+    for i, t in corpus:
+        raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for j in range(len(raw) - window + 1):
+            if count[raw[j : j + window]] > 1:
+                gone[j : j + window] = True
+        edge = np.diff(np.concatenate([[0], gone.astype(int)]))
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        want[i] = int(gone.sum()), int((edge > 0).sum()), kept
+    rows = substring_suffix.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3), window=window, gram=24, chunk=40).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows} == want
 
 
 @pytest.mark.parametrize("hot", [2000, 2])
