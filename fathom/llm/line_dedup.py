@@ -122,8 +122,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
         yield from linking.send_entries(parts(), bits)
 
-    def contents_of(wanted: np.ndarray) -> DataFrame:
-        some = spark.sparkContext.broadcast(wanted)
+    def contents_of(wanted: DataFrame) -> DataFrame:
+        some = spark.sparkContext.broadcast(linking.needed(wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()

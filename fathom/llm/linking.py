@@ -67,7 +67,7 @@ def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
     return int(np.clip(int(np.ceil(np.log2(max(rows / per_bucket, 1)))), 6, 24))
 
 
-def _meetings(table: pa.Table) -> pa.Table:
+def _meetings(table: pa.Table, most: int = SMALL) -> pa.Table:
     """kind 0: a candidate pair (a < b); kind 1: node a meets leader b under a large key."""
     data = np.frombuffer(b"".join(table["data"].to_pylist()), ENTRY)
     data = data[np.argsort(data["key"], kind="stable")]
@@ -80,12 +80,12 @@ def _meetings(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], data["key"][1:] != data["key"][:-1]])) if len(data) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(data)))
     out = []
-    for n in np.unique(size[(size >= 2) & (size <= SMALL)]):
+    for n in np.unique(size[(size >= 2) & (size <= most)]):
         grid = data["node"][first[size == n][:, None] + np.arange(n)]
         i, j = np.triu_indices(n, 1)
         out.append(np.unique(np.stack([grid[:, i].ravel(), grid[:, j].ravel()], 1), axis=0))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
-    large = size > SMALL
+    large = size > most
     if large.any():
         count = size[large]
         place = np.repeat(first[large] - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -97,9 +97,9 @@ def _meetings(table: pa.Table) -> pa.Table:
     return pa.table({"kind": kind, "a": both[:, 0], "b": both[:, 1]})
 
 
-def meetings(entries: DataFrame) -> DataFrame:
-    """kind, a, b from entries of (key, node)."""
-    return entries.groupBy("bucket").applyInArrow(_meetings, "kind int, a long, b long")
+def meetings(entries: DataFrame, most: int = SMALL) -> DataFrame:
+    """kind, a, b from entries of (key, node); most: nodes under a key up to which all pairs are candidates."""
+    return entries.groupBy("bucket").applyInArrow(lambda table: _meetings(table, most), "kind int, a long, b long")
 
 
 def needed(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -205,7 +205,7 @@ def pair_overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> n
 
 
 def only(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """node and a binary value of the rows whose node is among nodes, each node once."""
+    """node and a binary value (the column) of the rows whose node is among nodes, each node once."""
     some = rows.sparkSession.sparkContext.broadcast(needed(nodes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
 
 
-def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes], list[bytes]], np.ndarray], column: str = "content") -> DataFrame:
+def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes], list[bytes]], np.ndarray], column: str) -> DataFrame:
     """The pairs (a, b) that alike accepts; contents: node and the column that alike looks at."""
     values = only(contents, ends(pairs), column)
     one, two = values.select(F.col("node").alias("a"), F.col("value").alias("x")), values.select(F.col("node").alias("b"), F.col("value").alias("y"))
@@ -252,7 +252,7 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
     """Pairs that leaders missed: among those who share a leader, all outside its main component against all others.
 
     members: a (node), b (leader).  All nodes under one large key share its leader.  They are
-    dealt into blocks of about BLOCK nodes and blocks are paired, so no task holds a whole
+    dealt into blocks of about BLOCK nodes (small groups are one) and blocks are paired, so no task holds a whole
     group and work is outsiders x members.  Of the pairs that pairs_of finds (by the column of
     contents) those between different components count.  spanning: a meeting of two blocks
     with more than CROWD pairs per node tells only as many as would join its components if all
@@ -262,12 +262,12 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
     rows = materialize(rows, f"{name}-members")
     sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = main.select("family", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inside"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("outside"))
+    main = main.select("family", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inside"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("outside"), (F.col("all") <= BLOCK).alias("whole"))
     dealt = rows.join(main, "family").withColumn("out", F.col("component") != F.col("main")).withColumn("h", F.xxhash64("node"))
-    dealt = dealt.withColumn("block", F.when(F.col("out"), F.pmod("h", "outside")).otherwise(F.col("outside") + F.pmod("h", "inside")).cast("int"))
-    others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
-    meet = dealt.select("node", "family", "component", "block", F.explode(others).alias("other"))
-    meet = meet.select("node", "component", "block", "family", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
+    dealt = dealt.withColumn("block", F.when(F.col("whole"), F.lit(0)).when(F.col("out"), F.pmod("h", "outside")).otherwise(F.col("outside") + F.pmod("h", "inside")).cast("int"))
+    others = F.when(F.col("whole"), F.array(F.lit(0))).when(F.col("out"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
+    meet = dealt.select("node", "family", "component", "block", "out", F.explode(others).alias("other"))
+    meet = meet.select("node", "component", "block", "out", "family", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), F.least("block", "other").alias("low"))
     meet = materialize(meet, f"{name}-meet")
     full = meet.join(only(contents, meet, column), "node")
 
@@ -275,8 +275,9 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
         low = table["low"][0].as_py()
         block, part, node = table["block"].to_numpy(), table["component"].to_numpy(), table["node"].to_numpy()
         value = table["value"].to_pylist()
-        mine = np.flatnonzero(block == low)
-        rest = np.flatnonzero(block != low) if (block != low).any() else mine
+        out = table["out"].to_numpy()
+        mine = np.flatnonzero((block == low) & out)
+        rest = np.flatnonzero(block != low) if (block != low).any() else np.arange(len(node))
         pairs = ((int(mine[i]), int(rest[j])) for i, j in pairs_of([value[i] for i in mine], [value[j] for j in rest]))
         pairs = [(x, y) for x, y in pairs if part[x] != part[y]]
         again = [table["family"][0].as_py()] if spanning and len(pairs) > CROWD * len(node) else []
@@ -286,7 +287,7 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
         nothing = [None] * len(again)
         return pa.table({"a": pa.array([p for p, _ in ends] + nothing, pa.int64()), "b": pa.array([q for _, q in ends] + nothing, pa.int64()), "again": pa.array([None] * len(ends) + again, pa.int64())})
 
-    return full.select("node", "component", "block", "family", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long, again long").distinct()
+    return full.select("node", "component", "block", "out", "family", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long, again long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -302,24 +303,25 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[
         yield i, np.bincount(owner[place], minlength=len(right))
 
 
-def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], to_sets: Callable[[list[bytes]], list[np.ndarray]], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None, sieve_sets: Callable[[list[bytes], list[bytes]], Iterator[tuple[int, int]]] | None = None) -> DataFrame:
+def components(entries: DataFrame, contents_of: Callable[[DataFrame], DataFrame], to_sets: Callable[[list[bytes]], list[np.ndarray]], accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, sift: Callable[[DataFrame], DataFrame] | None = None, bits_of: Callable[[DataFrame], DataFrame] | None = None, bit_sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None, sieve: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None, sieve_sets: Callable[[list[bytes], list[bytes]], Iterator[tuple[int, int]]] | None = None, most: int = SMALL) -> DataFrame:
     """node, component for all nodes with a link.
 
-    contents_of(filter): node, content (and sketch, for sieve) of the nodes that pass the
-    filter, at least once each.  accept(common, size, size): which pairs link.  sift: a filter
-    on candidate pairs by what is known without contents; sieve: one by two sketches, which
-    are much smaller than contents, and sieve_sets the same for all pairs of two lists.  None
-    of these may reject a pair that links.
+    contents_of(nodes): node, content (and sketch, for sieve) of the nodes, at least once each,
+    maybe with others.  accept(common, size, size): which pairs link.  sift: a filter on
+    candidate pairs by what is known without contents.  bits_of(nodes): node, bits, far smaller
+    than contents; bit_sieve filters pairs by two of them, sieve_sets all pairs of two lists;
+    sketches and contents are then made only for the pairs left, and sieve filters these by two
+    sketches.  None of these may reject a pair that links.
     """
     spark = entries.sparkSession
     short_batches(spark)
-    met = materialize(meetings(entries), f"{name}-met")
+    met = materialize(meetings(entries, most), f"{name}-met")
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = materialize(sift(pairs) if sift else pairs, f"{name}-pairs")
     members = met.where("kind = 1").select("a", "b")
-    raw = materialize(contents_of(needed(ends(pairs).union(members.select(F.col("a").alias("node"))))), f"{name}-contents")
-    if sieve:
-        pairs = materialize(verify(pairs, raw, sieve, "sketch"), f"{name}-sieved")
+    raw = materialize((bits_of or contents_of)(ends(pairs).union(members.select(F.col("a").alias("node")))), f"{name}-contents")
+    if bits_of:
+        pairs = materialize(verify(pairs, raw, bit_sieve, "bits"), f"{name}-likely")
 
     def alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
         number: dict[bytes, int] = {}
@@ -335,17 +337,23 @@ def components(entries: DataFrame, contents_of: Callable[[np.ndarray], DataFrame
         for i, common in overlaps(p, q):
             yield from ((i, int(j)) for j in np.flatnonzero(accept(common, np.full(len(q), len(p[i])), size)))
 
-    edges = materialize(verify(pairs, raw, alike), f"{name}-links")
+    def linked(pairs: DataFrame, kind: str) -> DataFrame:
+        contents = materialize(contents_of(ends(pairs)), f"{name}-sets") if bits_of else raw
+        if sieve:
+            pairs = materialize(verify(pairs, contents, sieve, "sketch"), f"{name}-sieved")
+        return materialize(verify(pairs, contents, alike, "content"), f"{name}-{kind}")
+
+    edges = linked(pairs, "links")
     first = connected(edges, f"{name}-first")
     if members.isEmpty():
         return first
     if not sieve_sets:  # contents are small: compared exactly in the blocks, so a spanning forest of links is enough
         more = materialize(crosswise(members, first, raw, "content", every_pair, name, True).where("a is not null"), f"{name}-more")
         return connected(edges.union(more.select("a", "b")), f"{name}-all") if not more.isEmpty() else first
-    # by sketches: crowded meetings first tell what would join everything likely, then all that is likely and still apart
+    # by bits: crowded meetings first tell what would join everything likely, then all that is likely and still apart
     for spanning in (True, False):
-        likely = materialize(crosswise(members, first, raw, "sketch", sieve_sets, name, spanning), f"{name}-likely")
-        more = materialize(verify(likely.where("a is not null").select("a", "b"), raw, alike), f"{name}-more")
+        likely = materialize(crosswise(members, first, raw, "bits", sieve_sets, name, spanning), f"{name}-likely")
+        more = linked(likely.where("a is not null").select("a", "b"), "more")
         if not more.isEmpty():
             edges = edges.union(more)
             first = connected(edges, f"{name}-all")

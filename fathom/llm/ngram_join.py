@@ -5,13 +5,13 @@ n - ceil(t n) + 1 tokens of each share one.  Candidates come from the prefixes u
 order (rare tokens first, from a counting sketch over all documents, ties by a hash); before
 a pair is verified exactly it must also share a prefix token under each further order (same
 rarity, other ties): the prefixes themselves are sent and intersected, so what an order
-rejects shares no token of its prefixes.  Sizes must agree within t as well, and bits of all
-tokens bound from below how many tokens the sets do not share.
+rejects shares no token of its prefixes.  Sizes must agree within t as well, and before
+prefixes are sent, bits of all tokens bound from below how many tokens the sets do not share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import Words, id_and_text, join_skewed, materialize, mix64, short_batches, small
+from .common import AT_ONCE, Words, id_and_text, join_skewed, materialize, mix64, short_batches, small
 
 WORDS = 5
 #: The threshold as a fraction of integers, so that no rounding decides a link.
@@ -27,8 +27,10 @@ SHARE = (80, 100)
 ORDERS = 3
 #: Counters of the rarity sketch: a fixed 1 MB, whatever the size of the corpus.
 SKETCH_BITS, SLICES = 20, 64
-#: Bits of a document's sketch for all its tokens; the prefixes under the further orders follow, 4 bytes a token.
-ALL_BITS = 4096
+#: Documents under a prefix token up to which all pairs are candidates; of more, those with the leader.
+ALL_PAIRS = 12
+#: Bits per token of a document's bit table (rounded up to a power of two), and the least number.
+TOKEN_BITS, LEAST_BITS = 4, 512
 
 
 def gram_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,60 +90,93 @@ def from_content(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def sketch(token: np.ndarray, levels: np.ndarray) -> bytes:
-    """Size, bits of all tokens, and the prefix under each further order (the high 32 bits of its tokens, sorted)."""
-    bits = np.zeros(ALL_BITS, np.uint8)
-    bits[(token >> np.uint64(24)).astype(np.int64) % ALL_BITS] = 1
-    prefixes = [np.sort((prefix(token, levels, order) >> np.uint64(32)).astype("<u4")) for order in range(1, ORDERS)]
-    return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes() + b"".join(p.tobytes() for p in prefixes)
+def bit_table(token: np.ndarray) -> bytes:
+    """Size and bits of all tokens; tables of different lengths fold onto each other."""
+    width = max(LEAST_BITS, 1 << (TOKEN_BITS * len(token) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(token >> np.uint64(8)).astype(np.int64) & (width - 1)] = 1
+    return len(token).to_bytes(8, "little") + np.packbits(bits).tobytes()
 
 
-class Sketches:
-    """Sizes, bits and prefixes (by order, then document) of some sketches."""
+class BitTables:
+    """Sizes and bit tables of some documents."""
 
     def __init__(self, raw: list[bytes]):
-        head = 8 + ALL_BITS // 8
-        grid = np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(raw), head)
-        self.size = np.ascontiguousarray(grid[:, :8]).view("<i8").ravel()
-        self.bits = np.ascontiguousarray(grid[:, 8:]).view(np.uint64)
-        length = prefix_lengths(self.size).tolist()
-        self.prefixes = [[np.frombuffer(r, "<u4", n, head + 4 * n * order) for r, n in zip(raw, length, strict=True)] for order in range(ORDERS - 1)]
+        self.raw = raw
+        self.size = np.array([int.from_bytes(r[:8], "little") for r in raw], np.int64)
+        self.width = np.array([len(r) - 8 for r in raw], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int, rows: np.ndarray) -> np.ndarray:
+        """Tables of rows folded to width bytes; theirs are no shorter and at most twice as long."""
+        if width not in self.folded:
+            place, parts = np.zeros(len(self.raw), np.int64), []
+            for own in (width, 2 * width):
+                some = np.flatnonzero(self.width == own)
+                place[some] = np.arange(len(some)) + sum(map(len, parts))
+                grid = np.frombuffer(b"".join(self.raw[i][8:] for i in some), np.uint64).reshape(len(some), own // width, width // 8)
+                parts.append(np.bitwise_or.reduce(grid, axis=1))
+            self.folded[width] = place, np.concatenate(parts)
+        place, table = self.folded[width]
+        return table[place[rows]]
+
+
+def enough(p: BitTables, one: np.ndarray, q: BitTables, two: np.ndarray) -> np.ndarray:
+    """Of the pairs (one[i] of p, two[i] of q): whether sizes and bits leave room for enough common tokens."""
+    n, m = p.size[one], q.size[two]
+    out = accept(np.minimum(n, m), n, m)  # so widths are equal or twice each other
+    width = np.minimum(p.width[one], q.width[two])
+    for w in np.unique(width[out]).tolist():
+        at = np.flatnonzero(out & (width == w))
+        for i in range(0, len(at), max(1, AT_ONCE // w)):
+            some = at[i : i + max(1, AT_ONCE // w)]
+            x, y = p.at(w, one[some]), q.at(w, two[some])
+            only_x, only_y = np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), np.bitwise_count(y & ~x).sum(-1, dtype=np.int64)
+            out[some] = accept(np.minimum(n[some] - only_x, m[some] - only_y), n[some], m[some])
+    return out
+
+
+def numbered(left: list[bytes], right: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct values of two lists, and the number of each entry."""
+    number: dict[bytes, int] = {}
+    one, two = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (left, right))
+    return list(number), one, two
+
+
+def bit_sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Pairs of bit tables that may link."""
+    values, one, two = numbered(left, right)
+    own = BitTables(values)
+    return enough(own, one, own, two)
 
 
-def enough(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows whose bits leave room for enough common tokens."""
-    both = np.bitwise_count(x & y).sum(-1, dtype=np.int64)
-    only_x, only_y = np.bitwise_count(x).sum(-1, dtype=np.int64) - both, np.bitwise_count(y).sum(-1, dtype=np.int64) - both
-    return accept(np.minimum(n - only_x, m - only_y), n, m)
+def sieve_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
+    """All pairs of two lists of bit tables that may link."""
+    p, q = BitTables(left), BitTables(right)
+    every = np.arange(len(right))
+    for i in range(len(left)):
+        yield from ((i, j) for j in np.flatnonzero(enough(p, np.full(len(right), i), q, every)).tolist())
+
+
+def sketch(token: np.ndarray, levels: np.ndarray) -> bytes:
+    """Size, and the prefix under each further order (the high 32 bits of its tokens, sorted)."""
+    prefixes = [np.sort((prefix(token, levels, order) >> np.uint64(32)).astype("<u4")) for order in range(1, ORDERS)]
+    return len(token).to_bytes(8, "little") + b"".join(p.tobytes() for p in prefixes)
 
 
 def sieve(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Pairs that may link: each further order's prefixes meet, then the bits."""
-    number: dict[bytes, int] = {}
-    one, two = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (left, right))
-    own = Sketches(list(number))
+    """Pairs whose prefixes meet under each further order."""
+    values, one, two = numbered(left, right)
+    length = prefix_lengths(np.array([int.from_bytes(r[:8], "little") for r in values], np.int64)).tolist()
     live = np.arange(len(one))
-    for prefixes in own.prefixes:
+    for order in range(ORDERS - 1):
+        prefixes = [np.frombuffer(r, "<u4", n, 8 + 4 * n * order) for r, n in zip(values, length, strict=True)]
         live = live[linking.pair_overlaps(prefixes, one[live], two[live]) > 0]
-    live = live[enough(own.size[one[live]], own.bits[one[live]], own.size[two[live]], own.bits[two[live]])]
     out = np.zeros(len(one), bool)
     out[live] = True
     return out
 
 
-def sieve_sets(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int]]:
-    """All pairs of two lists that may link: sizes, an inverted index over each further order's prefixes, then the bits."""
-    p, q = Sketches(left), Sketches(right)
-    meeting = [linking.overlaps(a, b) for a, b in zip(p.prefixes, q.prefixes, strict=True)]
-    for i, n in enumerate(p.size):
-        hit = (SHARE[1] * q.size >= SHARE[0] * n) & (SHARE[1] * n >= SHARE[0] * q.size)
-        for order in meeting:
-            hit &= next(order)[1] > 0
-        j = np.flatnonzero(hit)
-        for k in j[enough(n, p.bits[i], q.size[j], q.bits[j])].tolist():
-            yield i, k
-
-
 def accept(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (SHARE[1] * common >= SHARE[0] * (one + two - common)) & (common > 0)
 
@@ -173,12 +208,16 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("slice is null").select("doc_id", "tie", "node", "n_shingles"), levels.ravel()
 
 
-def _once(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """gram_sets without the nodes that this partition has had."""
-    first, token, node = gram_sets(batch["text"])
-    new = np.array([x != 0 and x not in seen and not seen.add(x) for x in node.tolist()], bool)
-    size = np.diff(first)
-    return size[new], token[np.repeat(new, size)], node[new]
+def _once(batches: Iterator[pa.RecordBatch], some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes, tokens and nodes of the texts whose pick passes the filter, each node of the partition once."""
+    seen: set[int] = set()
+    for batch in batches:
+        picked = batch.filter(pa.array(linking.passes(some, batch["pick"].to_numpy().view(np.uint64))))
+        for part in small([picked]):
+            first, token, node = gram_sets(part["text"])
+            new = np.array([x != 0 and x not in seen and not seen.add(x) for x in node.tolist()], bool)
+            size = np.diff(first)
+            yield size[new], token[np.repeat(new, size)], node[new]
 
 
 def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,12 +236,14 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     total, distinct, tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     bits = linking.bucket_bits(tokens * (SHARE[1] - SHARE[0]) // SHARE[1] + distinct, linking.PER_BUCKET)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    # a set is made from its least document alone, wherever its copies lie
+    picks = nodes.select("node", F.xxhash64("least.doc_id", "least.tie").alias("pick"))
+    texts = docs.select("text", F.xxhash64("doc_id", "tie").alias("pick"))
+    every = spark.sparkContext.broadcast(linking.needed(picks.select(F.col("pick").alias("node"))))
 
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in small(batches):
-                size, token, node = _once(batch, seen)
+            for size, token, node in _once(batches, every.value):
                 of = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((rarity(token, shared.value, 0), of))
                 rank = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
@@ -211,18 +252,21 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         yield from linking.send_entries(parts(), bits)
 
-    def contents_of(wanted: np.ndarray) -> DataFrame:
-        some = spark.sparkContext.broadcast(wanted)
+    def values_of(wanted: DataFrame, **values: Callable[[np.ndarray], bytes]) -> DataFrame:
+        some = spark.sparkContext.broadcast(linking.needed(picks.join(wanted.select("node").distinct(), "node").select(F.col("pick").alias("node"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in small(batches):
-                size, token, node = _once(batch, seen)
-                end = np.cumsum(size)
-                hit = np.flatnonzero(linking.passes(some.value, node))
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), pa.array([to_content(token[end[i] - size[i] : end[i]]) for i in hit], pa.binary()), pa.array([sketch(token[end[i] - size[i] : end[i]], shared.value) for i in hit], pa.binary())], names=["node", "content", "sketch"])
+            for size, token, node in _once(batches, some.value):
+                sets = np.split(token, np.cumsum(size)[:-1]) if len(size) else []
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(pa.array([value(x) for x in sets], pa.binary()) for value in values.values())], names=["node", *values])
+
+        return texts.mapInArrow(run, "node long" + "".join(f", {c} binary" for c in values))
+
+    def contents_of(wanted: DataFrame) -> DataFrame:
+        return values_of(wanted, sketch=lambda token: sketch(token, shared.value), content=to_content)
 
-        return docs.mapInArrow(run, "node long, content binary, sketch binary")
+    def bits_of(wanted: DataFrame) -> DataFrame:
+        return values_of(wanted, bits=bit_table)
 
     sizes = nodes.select("node", F.col("n_shingles").alias("n"))
 
@@ -230,7 +274,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         one, two = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
         return pairs.join(one, "a").join(two, "b").where(f"{SHARE[1]} * least(n_a, n_b) >= {SHARE[0]} * greatest(n_a, n_b)").select("a", "b")
 
-    linked = linking.components(docs.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, sieve, sieve_sets)
+    linked = linking.components(texts.mapInArrow(enter, linking.ENTRIES), contents_of, lambda raw: [from_content(x) for x in raw], accept, "ngram", sift, bits_of, bit_sieve, sieve, sieve_sets, ALL_PAIRS)
     # by distinct set first: a third of all rows may be one text
     own = materialize(nodes.join(linked, "node", "left").select("node", "least", F.col("n").alias("rows"), F.coalesce("component", "node").alias("label")), "ngram-labels")
     least = materialize(own.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "ngram-least")
