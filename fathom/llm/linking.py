@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, ragged, short_batches
+from .common import give_back, materialize, mix64, ragged, short_batches
 
 #: Nodes under a key up to which all pairs are candidates.
 SMALL = 12
@@ -59,8 +59,11 @@ def send_entries(parts: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> I
         if size >= HELD:
             yield entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
             keys, nodes, size = [], [], 0
+            give_back()
     if size:
         yield entry_batches(np.concatenate(keys), np.concatenate(nodes), bits)
+    keys.clear(), nodes.clear()
+    give_back()
 
 
 def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
@@ -94,6 +97,7 @@ def _meetings(table: pa.Table, most: int = SMALL) -> pa.Table:
         member = np.zeros((0, 2), np.uint64)
     both = np.concatenate([pairs, member]).view(np.int64)
     kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(member)])
+    give_back()
     return pa.table({"kind": kind, "a": both[:, 0], "b": both[:, 1]})
 
 
@@ -116,7 +120,9 @@ def needed(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         some = np.flatnonzero(np.diff(edge))
         # few marks of a slice go as places, many as bits
         data = [(place[edge[i] : edge[i + 1]] - i * size).astype("<u4").tobytes() if 4 * (edge[i + 1] - edge[i]) < size // 8 else np.packbits(table[i * size : (i + 1) * size]).tobytes() for i in some]
+        del table
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
         whole = np.zeros(size, bool)
@@ -211,6 +217,7 @@ def only(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(some.value, batch["node"].to_numpy().view(np.uint64))))
+        give_back()
 
     return rows.select("node", F.col(column).alias("value")).mapInArrow(pick, "node long, value binary").dropDuplicates(["node"])
 
@@ -228,6 +235,7 @@ def verify(pairs: DataFrame, contents: DataFrame, alike: Callable[[list[bytes],
         for batch in batches:
             keep = alike(batch["x"].to_pylist(), batch["y"].to_pylist())
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -285,6 +293,8 @@ def crosswise(members: DataFrame, components: DataFrame, contents: DataFrame, co
             pairs = list(spanning_pairs(part, iter(pairs)))
         ends = [sorted((int(node[x]), int(node[y]))) for x, y in pairs]
         nothing = [None] * len(again)
+        del value, pairs
+        give_back()
         return pa.table({"a": pa.array([p for p, _ in ends] + nothing, pa.int64()), "b": pa.array([q for _, q in ends] + nothing, pa.int64()), "again": pa.array([None] * len(ends) + again, pa.int64())})
 
     return full.select("node", "component", "block", "out", "family", "meeting", "low", "value").groupBy("meeting").applyInArrow(compare, "a long, b long, again long").distinct()

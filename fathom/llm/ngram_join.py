@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import AT_ONCE, Words, id_and_text, join_skewed, materialize, mix64, short_batches, small
+from .common import AT_ONCE, Words, give_back, id_and_text, join_skewed, materialize, mix64, short_batches, small
 
 WORDS = 5
 #: The threshold as a fraction of integers, so that no rounding decides a link.
@@ -195,6 +195,8 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = np.minimum(counts, 2**31 - 1).astype("<u4").reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        del counts, parts, seen
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist())
@@ -259,6 +261,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             for size, token, node in _once(batches, some.value):
                 sets = np.split(token, np.cumsum(size)[:-1]) if len(size) else []
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(pa.array([value(x) for x in sets], pa.binary()) for value in values.values())], names=["node", *values])
+            give_back()
 
         return texts.mapInArrow(run, "node long" + "".join(f", {c} binary" for c in values))
 
