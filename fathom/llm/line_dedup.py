@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import WORD_BASE, id_and_text, join_skewed, materialize, mix64, prefix_sums, ragged, short_batches, small, span_hashes
+from .common import WORD_BASE, id_and_text, join_skewed, materialize, mix64, prefix_sums, short_batches, small, span_hashes, window_hashes
 
 SHINGLE, BANDS, ROWS = 8, 16, 4
 SHARE = (80, 100)
@@ -39,17 +39,24 @@ class Lines:
         self.of = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(self.start))))
         self.number = np.arange(len(self.start)) - first[self.of] if len(texts) else self.end
         self.prefix = prefix_sums(self.code.astype(np.uint64) + np.uint64(1), WORD_BASE)
-        ink = np.concatenate([[0], np.cumsum((self.code != 32) & (self.code != 9) & (self.code != 13))])
-        blank = ink[self.end] == ink[self.start]
+        ink = (self.code != 32) & (self.code != 9) & (self.code != 13) & (self.code != 10)
+        blank = ~np.logical_or.reduceat(ink, self.start) if len(self.start) else np.zeros(0, bool)
         node = np.maximum(mix64(span_hashes(self.prefix, WORD_BASE, self.start, self.end)), 1)
         self.node = np.where(blank, 0, node).astype(np.uint64)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes of the chosen lines, one after the other, and where each line's begin."""
+        """Shingle hashes of the chosen lines (ascending), one after the other, and where each line's begin."""
         start, end = self.start[which], self.end[which]
         count = np.maximum(end - start - SHINGLE + 1, 1)
-        at = ragged(start, count)
-        return span_hashes(self.prefix, WORD_BASE, at, np.minimum(at + SHINGLE, np.repeat(end, count))), np.cumsum(count) - count
+        first = np.cumsum(count) - count
+        # those of all places, without looking up any; then the places of the chosen lines
+        inside = np.zeros(len(self.prefix), np.int8)
+        inside[start] += 1
+        inside[start + count] -= 1
+        out = window_hashes(self.prefix, WORD_BASE, SHINGLE)[np.cumsum(inside, dtype=np.int8).view(bool)]
+        short = np.flatnonzero(end - start < SHINGLE)
+        out[first[short]] = span_hashes(self.prefix, WORD_BASE, start[short], end[short])
+        return out, first
 
 
 def bands(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -65,12 +72,10 @@ def bands(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
         for i, odd in enumerate(_ODD):
             least[i, at:to] = np.minimum.reduceat(np.multiply(part, odd, out=product), begin)
         at = to
-    out = np.zeros((BANDS, len(first)), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(first), band + 1, np.uint64)
-        for row in range(ROWS):
-            key = mix64(key * np.uint64(0xA0761D6478BD642F) + least[band * ROWS + row].astype(np.uint64))
-        out[band] = key
+    least = least.reshape(BANDS, ROWS, len(first))
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(first), axis=1)
+    for row in range(ROWS):
+        out = mix64(out * np.uint64(0xA0761D6478BD642F) + least[:, row])
     return out.T
 
 
@@ -80,14 +85,13 @@ def line_sets(raw: list[bytes]) -> list[np.ndarray]:
     for at in range(0, len(raw), 1 << 15):
         lines = Lines([x.decode("utf-8", "surrogatepass") for x in raw[at : at + (1 << 15)]])
         shingle, first = lines.shingles(np.arange(len(lines.start)))
-        count = np.diff(np.append(first, len(shingle)))
-        of = np.repeat(np.arange(len(count)).astype(np.uint16), count)
-        order = np.argsort(shingle)
-        order = order[np.argsort(of[order], kind="stable")]
-        token, of = shingle[order], of[order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (of[1:] != of[:-1])]) if len(token) else np.zeros(0, bool)
-        token, of = token[new], of[new]
-        out += np.split(token, np.searchsorted(of, np.arange(1, len(count)).astype(np.uint16)))
+        edge = np.append(first, len(shingle))
+        new = np.ones(len(shingle), bool)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):  # each line's own sort stays in a core's cache
+            shingle[a:b].sort()
+        new[1:] = shingle[1:] != shingle[:-1]
+        new[first] = True
+        out += np.split(shingle[new], np.cumsum(np.add.reduceat(new, first, dtype=np.int64))[:-1])
     return out
 
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fathom.llm import linking, repeats, substring_rlz, substring_suffix
+from fathom.llm import common, line_dedup, linking, repeats, substring_rlz, substring_suffix
 from fathom.llm.common import mix64
 from fathom.llm.suffix_sort import sorted_suffixes
 
@@ -109,3 +109,19 @@ def test_thinned_marks_what_it_holds_back():
     go, direct = repeats.thinned(entry)
     assert len(go) == repeats.SEEN and len(go) + len(direct) == 1000
     assert go["many"].all() and (go["stands"].astype(int) + 1).sum() == 1000
+
+
+def test_window_hashes_are_span_hashes():
+    """op9 hashes the shingles of all places in blocks; the blocks' edges and short texts must not show."""
+    for n in (0, 3, common.CACHED + 5, 2 * common.CACHED + 8):
+        prefix = common.prefix_sums(np.arange(n, dtype=np.uint64) % np.uint64(97), common.WORD_BASE)
+        at = np.arange(max(0, n - 7))
+        assert np.array_equal(common.window_hashes(prefix, common.WORD_BASE, 8)[: len(at)], common.span_hashes(prefix, common.WORD_BASE, at, at + 8))
+
+
+def test_pairs_of_sets():
+    """Each pair is compared on its own, and equal sets too."""
+    sets = line_dedup.line_sets([b"abcdefghabcdefgh", b"abcdefgh", b"short", b"abcdefghi"])
+    one, two = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 3, 2, 0])
+    assert [len(s) for s in sets] == [8, 1, 1, 2]
+    assert linking.pair_overlaps(sets, one, two).tolist() == [1, 8, 1, 1, 0]
