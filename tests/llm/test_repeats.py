@@ -64,6 +64,20 @@ def test_factors(spark, corpus, hot, monkeypatch):
     assert dict(got) == dict(want)
 
 
+def test_chunks_stay_where_they_are(spark, corpus, monkeypatch):
+    """Neither copies nor hot cores make the table of open chunks go through a shuffle before it is grouped by document."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    plans, solved = [], repeats.solved
+    monkeypatch.setattr(repeats, "solved", lambda docs, chunks, *more: (plans.append(chunks._jdf.queryExecution().executedPlan().toString()), solved(docs, chunks, *more))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert substring_rlz.factors(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) == 2 and not any("hashpartitioning" in plan for plan in plans)
+
+
 def test_greedy_parse_takes_the_longest():
     word = lambda *x: np.array(x, np.uint64).tobytes()
     block = substring_rlz.Block(4)
