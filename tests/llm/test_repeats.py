@@ -139,3 +139,48 @@ def test_pairs_of_sets():
     one, two = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 3, 2, 0])
     assert [len(s) for s in sets] == [8, 1, 1, 2]
     assert linking.pair_overlaps(sets, one, two).tolist() == [1, 8, 1, 1, 0]
+
+
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch):
+    """The union-find's rounds, one task alone, and rounds that one task finishes give the same components."""
+    pick = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in pick.integers(0, 600, (330, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for few in (0, 20, linking.FEW):
+        monkeypatch.setattr(linking, "FEW", few)
+        assert {r["node"]: r["component"] for r in linking.connected(table, "test").collect()} == {x: root(x) for x in parent}
+
+
+def test_tasks_of_small_tables(spark):
+    """A filter and components of a few rows don't start a Python task for every shuffle partition, and no rounds."""
+    from pyspark.sql import functions as F
+
+    pairs = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    settings = {"spark.sql.shuffle.partitions": "400", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+
+    def tasks(name, run):
+        context.setJobGroup(name, name)
+        run()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert tasks("small-filter", lambda: linking.needed(pairs.select(F.col("a").alias("node")))) < 600
+        assert tasks("small-components", lambda: linking.connected(pairs, "test").collect()) < 100
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
