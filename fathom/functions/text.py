@@ -43,5 +43,22 @@ def excerpt(text: Column, size: int = 800) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 
 
+def fixed3(value: Column) -> Column:
+    """The value with three decimals, rounded by its exact binary value and ties to even, as C and Python print it.
+
+    format_string rounds the shortest decimal form half up, so 37.3035, which is stored as a
+    little less, becomes 37.304 there.  Both halves of the fraction times 1000 are exact here.
+    """
+    size = F.abs(value)
+    whole = F.floor(size).cast("double")
+    fraction = size - whole
+    high = F.floor(fraction * float(1 << 26)).cast("double") / float(1 << 26)
+    thousandths = F.floor(fraction * 1000).cast("double")
+    over = (high * 1000 - thousandths - 0.5) + (fraction - high) * 1000
+    up = ((over > 0) | ((over == 0) & (thousandths % 2 == 1))).cast("double")
+    rounded = F.signum(value) * ((whole * 1000 + thousandths + up) / 1000)
+    return F.format_string("%.3f", F.when(size < float(1 << 40), rounded).otherwise(value))
+
+
 def query_hash(query: Column) -> Column:
     return F.substring(F.md5(query), 1, 16)

@@ -109,3 +109,11 @@ def test_where_builder():
 def test_where(spark, where, kept):
     rows = spark.createDataFrame([(1, "A", 1), (2, "B", 2), (3, None, None)], "id int, t string, y int")
     assert {r["id"] for r in predicates.apply(rows, where).collect()} == kept
+
+
+def test_three_decimals_as_c_prints_them(spark):
+    """Halves in decimal go by the stored value, halves in binary to even; Spark's own format rounds both up."""
+    values = [37.3035, 50.0545, 1.0005, 2.0005, 0.0625, 0.1875, -0.0625, -3.3905, 0.0005, -0.0004, 0.0, 0.9995, 12.9996, 5.1234567, 1e-20, 1e15 + 0.5, *(n / 1000 + 0.0005 for n in range(0, 60_000, 37))]
+    found = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", text.fixed3(F.col("x")).alias("s"), F.format_string("%.3f", "x").alias("java")).orderBy("i").collect()
+    assert [r["s"] for r in found] == [f"{v:.3f}" for v in values]
+    assert sum(r["s"] != r["java"] for r in found) > 100

@@ -158,3 +158,8 @@ def test_truth_is_plain_containment(spark):
     found = queries.truth(asked, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     want = {(q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
     assert len(found) == len(want) and {(r["qid"], r["id"]) for r in found} == want
+
+
+def test_label_rounds_the_score_as_sql_does(spark):
+    hits = spark.createDataFrame([(1, 1, 7, 37.3035, "en", 2022, "web", "a")], "qid long, rank int, id long, score double, ticker string, fiscal_year int, section_id string, text string")
+    assert views.sources(hits).first()["label"] == "[1] en FY2022 · web · score 37.303"
