@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +165,35 @@ def test_truth_is_plain_containment(spark):
 def test_label_rounds_the_score_as_sql_does(spark):
     hits = spark.createDataFrame([(1, 1, 7, 37.3035, "en", 2022, "web", "a")], "qid long, rank int, id long, score double, ticker string, fiscal_year int, section_id string, text string")
     assert views.sources(hits).first()["label"] == "[1] en FY2022 · web · score 37.303"
+
+
+def scored_in_blocks(n_queries, n_rows, n):
+    """What a task gives for whole-number vectors with many ties, one query and some rows without length, and its peak of memory."""
+    rng = np.random.default_rng(5)
+    rows, asked = rng.integers(-2, 3, (n_rows, 4)).astype(float), rng.integers(-2, 3, (n_queries, 4)).astype(float)
+    asked[1], rows[::50] = 0, 0
+    with np.errstate(invalid="ignore"):
+        unit = [m / np.sqrt((m * m).sum(1, keepdims=True)) for m in (rows, asked)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(at, min(at + 6000, n_rows))), pa.array(rows[at : at + 6000].tolist(), pa.list_(pa.float64()))], names=["id", "vector"]) for at in range(0, n_rows, 6000)]
+    tracemalloc.start()
+    found = list(dense._scorer(np.arange(n_queries) * 7, unit[1], n, False)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return unit, pa.Table.from_batches(found).to_pylist(), peak
+
+
+def test_dense_task_memory_is_bounded():
+    _, found, peak = scored_in_blocks(6000, 6000, 3)
+    assert len({r["qid"] for r in found}) > 5900 and peak < 250e6
+
+
+def test_dense_task_keeps_the_best_of_each_query():
+    (rows, asked), found, _ = scored_in_blocks(1100, 7000, 3)
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r["qid"] // 7, []).append((-r["score"], r["id"]))
+    assert 1 not in by_query
+    for q in (0, 2, 3, 1023, 1024, 1099):
+        score = np.round(rows @ asked[q], 6)
+        want = sorted((-s, i) for i, s in enumerate(score.tolist()) if s == s)[:3]
+        assert [i for _, i in sorted(by_query.get(q, []))] == [i for _, i in want]
