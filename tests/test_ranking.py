@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.config import Settings
-from fathom.operators import dense, embedding, evaluation, fusion, generation, lexical, report, rerank, retrieve, views
+from fathom.operators import dense, embedding, evaluation, fusion, generation, lexical, predicates, report, rerank, retrieve, views
 from fathom.plans import queries
 
 DOCS = ["the cat sat", "the dog sat down", "the the the", "a bird", "", "cat and dog and cat"]
@@ -197,3 +197,10 @@ def test_dense_task_keeps_the_best_of_each_query():
         score = np.round(rows @ asked[q], 6)
         want = sorted((-s, i) for i, s in enumerate(score.tolist()) if s == s)[:3]
         assert [i for _, i in sorted(by_query.get(q, []))] == [i for _, i in want]
+
+
+def test_dense_filtered_survives_a_vector_of_another_width(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.1], 2)], "id long, embedding array<float>, label int").coalesce(1)
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "qid long, vector array<float>")
+    found = dense.top_n(predicates.apply(rows, {"label": 1}), asked, 3).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in found] == [(0, 1.0), (2, 0.0)]
