@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from . import predicates
 from .lexical import ranked
 
 
@@ -35,23 +36,26 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
         return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
-def top_n(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding", settings: Settings = DEFAULTS, exclude_self: bool = False) -> DataFrame:
+def top_n(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding", settings: Settings = DEFAULTS, exclude_self: bool = False, restricted: bool = False) -> DataFrame:
     """qid, id, score, rank for queries (qid, vector).
 
     Each task keeps its best n per query, so the shuffle carries tasks x queries x n rows at
     most.  Queries go to the tasks in blocks of settings.broadcast_queries (fewer if vectors are
-    long), and a task scores a bounded block of pairs at a time; ties go by id.
+    long), and a task scores a bounded block of pairs at a time; ties go by id.  If restricted,
+    queries also have tickers and years, vectors ticker and year, and a query sees only what
+    predicates.Allowed lets it.
     """
-    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), *(("tickers", "years") if restricted else ()))
     total, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), *(("ticker", "year") if restricted else ()))
     parts = max(1, -(-total // max(1, min(settings.broadcast_queries, SHIPPED // max(width, 1)))))
     out = None
     for part in range(parts):
         block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part) if parts > 1 else asked
         rows = block.toArrow()
         qids, matrix = rows["qid"].to_numpy(), _matrix(rows["vector"].combine_chunks(), width) if len(rows) and width > 0 else np.zeros((0, 0))
-        found = base.mapInArrow(_scorer(qids, matrix, n, exclude_self), "qid long, id long, score double")
+        allowed = predicates.Allowed(rows["tickers"].to_pylist(), rows["years"].to_pylist()) if restricted else None
+        found = base.mapInArrow(_scorer(qids, matrix, n, exclude_self, allowed), "qid long, id long, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out, n)
 
@@ -80,7 +84,7 @@ class _Best:
         self.q, self.i, self.s = q[place < self.n], i[place < self.n], s[place < self.n]
 
 
-def _scorer(qids: np.ndarray, matrix: np.ndarray, n: int, exclude_self: bool):
+def _scorer(qids: np.ndarray, matrix: np.ndarray, n: int, exclude_self: bool, allowed: predicates.Allowed | None = None):
     blocks = [slice(at, at + TOGETHER) for at in range(0, len(matrix), TOGETHER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +98,8 @@ def _scorer(qids: np.ndarray, matrix: np.ndarray, n: int, exclude_self: bool):
                     score = matrix[block] @ rows.T
                     if exclude_self:
                         score[qids[block][:, None] == ids[None]] = np.nan
+                    if allowed is not None:
+                        score[~allowed.mask(batch["ticker"], batch["year"], block)] = np.nan
                     kept.add(ids, score)
         for block, kept in zip(blocks, best, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(qids[block][kept.q], pa.int64()), pa.array(kept.i, pa.int64()), pa.array(kept.s, pa.float64())], names=["qid", "id", "score"])

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
+from . import predicates
 
 
 @dataclass
 class Index:
-    """docs: id, toks, dl; terms: term, df (kept for all questions); and the statistics, which one pass over the documents has computed."""
+    """docs: id, toks, dl and the columns kept; terms: term, df (kept for all questions); and the statistics, which one pass over the documents has computed."""
 
     docs: DataFrame
     terms: DataFrame
@@ -37,13 +38,13 @@ def _raw_idf(n: int, df: Column) -> Column:
     return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
-def build(df: DataFrame, id_col: str, text_col: str = "text") -> Index:
+def build(df: DataFrame, id_col: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> Index:
     """Tokenize lazily; one job counts the documents of each term, and with a row of no term the documents and their lengths.
 
     The term table is persisted (a lost executor's part is computed again); the driver gets the
     number of terms by df only, which are at most the square root of twice the postings.
     """
-    docs = df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")).withColumn("dl", F.size("toks"))
+    docs = df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"), *keep).withColumn("dl", F.size("toks"))
     each = docs.select(F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
     counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")).persist()
     rows = counted.groupBy(F.col("term").isNull().alias("all"), "df").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).collect()
@@ -103,10 +104,15 @@ ASKED, CELLS = 1_000_000, 1 << 24
 MOST_IN_PLACE = 1000
 #: Cells of the document x term block that is scored at a time.
 BLOCK_CELLS = 1 << 22
+#: Questions whose restrictions are looked up together.
+TOGETHER = 1024
 
 
-def _best_in_place(docs: DataFrame, found: tuple[list, list[str], np.ndarray], avgdl: float, n: int, settings: Settings, kind: str) -> DataFrame:
-    """qid, id, score: each task's n best documents of each question; a term count is local to its row, so no posting is shuffled."""
+def _best_in_place(docs: DataFrame, found: tuple[list, list[str], np.ndarray], avgdl: float, n: int, settings: Settings, kind: str, allowed: predicates.Allowed | None = None) -> DataFrame:
+    """qid, id, score: each task's n best documents of each question; a term count is local to its row, so no posting is shuffled.
+
+    allowed (then docs also have ticker and year) restricts the documents of each question.
+    """
     qids, terms, weights = found
     k1, b = settings.bm25_k1, settings.bm25_b
 
@@ -114,7 +120,7 @@ def _best_in_place(docs: DataFrame, found: tuple[list, list[str], np.ndarray], a
         vocabulary = pa.array(terms, pa.string())
         score, ids = np.zeros((len(qids), 0)), None
         for whole in batches:
-            rows = max(1, BLOCK_CELLS // max(len(terms), 1))
+            rows = max(1, BLOCK_CELLS // max(len(terms), len(qids), 1))
             for at in range(0, len(whole), rows):
                 batch = whole.slice(at, rows)
                 toks = batch["toks"]
@@ -127,15 +133,18 @@ def _best_in_place(docs: DataFrame, found: tuple[list, list[str], np.ndarray], a
                 tf *= (k1 + 1) / (tf + k1 * (1 - b + b * size / avgdl))
                 own = np.asarray(batch["id"].to_pylist() if kind == "string" else batch["id"].to_numpy())
                 new = (tf @ weights).T
+                for some in range(0, len(qids) if allowed is not None else 0, TOGETHER):
+                    new[some : some + TOGETHER][~allowed.mask(batch["ticker"], batch["year"], slice(some, some + TOGETHER))] = -np.inf
                 score = np.hstack([score, new])
                 every = np.broadcast_to(own, new.shape)
                 ids = every if ids is None else np.hstack([ids, every])
                 first = np.lexsort((ids, -np.round(score, 6)), axis=-1)[:, :n]
                 score, ids = np.take_along_axis(score, first, 1), np.take_along_axis(ids, first, 1)
         if ids is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(qids), score.shape[1])), pa.array(ids.ravel().tolist() if kind == "string" else ids.ravel()), pa.array(score.ravel())], names=["qid", "id", "score"])
+            some = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(qids), score.shape[1])[some.ravel()]), pa.array(ids[some].tolist() if kind == "string" else ids[some]), pa.array(score[some])], names=["qid", "id", "score"])
 
-    return docs.select("id", "toks", "dl").where("id is not null").mapInArrow(run, f"qid long, id {kind}, score double")
+    return docs.select("id", "toks", "dl", *(("ticker", "year") if allowed is not None else ())).where("id is not null").mapInArrow(run, f"qid long, id {kind}, score double")
 
 
 def ranked(scored: DataFrame, n: int, by: str = "qid") -> DataFrame:
@@ -144,6 +153,16 @@ def ranked(scored: DataFrame, n: int, by: str = "qid") -> DataFrame:
     return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def top_n_restricted(index: Index, docs: DataFrame, queries: DataFrame, n: int, settings: Settings = DEFAULTS) -> DataFrame | None:
+    """top_n in place over docs (id, toks, dl, ticker, year), each question (qid, query, tickers, years) as predicates.Allowed lets it; None if the questions are too many."""
+    kind = docs.schema["id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "string") or n > MOST_IN_PLACE or (found := _weights(index, queries.withColumn("qid", F.col("qid").cast("long")), settings)) is None:
+        return None
+    entities = {r["qid"]: (r["tickers"], r["years"]) for r in queries.select(F.col("qid").cast("long").alias("qid"), "tickers", "years").collect()}
+    allowed = predicates.Allowed([entities[q][0] for q in found[0]], [entities[q][1] for q in found[0]])
+    return ranked(_best_in_place(docs, found, index.avgdl, n, settings, kind, allowed), n)
+
+
 def top_n(index: Index, queries: DataFrame, n: int, settings: Settings = DEFAULTS, allowed: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """qid, id, score, rank: always n rows per query as long as there are n documents.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +60,25 @@ def allows(tickers: Column, years: Column, ticker: Column, year: Column) -> Colu
     by_ticker = (F.size(tickers) == 0) | F.coalesce(F.array_contains(tickers, ticker), F.lit(False))
     by_year = (F.size(years) != 1) | F.coalesce(F.get(years, F.lit(0)) == year, F.lit(False))
     return by_ticker & by_year
+
+
+class Allowed:
+    """What the entities of a bounded set of questions allow, on blocks of rows: as retrieve.allowed_pairs; questions without entities see every row."""
+
+    def __init__(self, tickers: list[list[str]], years: list[list[int]]):
+        self.known = sorted({t for ts in tickers for t in ts or [] if t is not None})
+        place = {t: i for i, t in enumerate(self.known)}
+        self.places = [[place[t] for t in ts or [] if t is not None] for ts in tickers]
+        self.any_ticker = np.array([not ts for ts in tickers], bool)
+        one = [ys[0] if ys is not None and len(ys) == 1 else None for ys in years]
+        self.year = np.array([np.nan if y is None else y for y in one], float)
+        self.nothing = np.array([not ts and ys is not None and len(ys) == 1 and ys[0] is None for ts, ys in zip(tickers, years, strict=True)], bool)
+
+    def mask(self, ticker: pa.Array, year: pa.Array, block: slice) -> np.ndarray:
+        """[questions of the block, rows]: whether the question sees the row; a null matches nothing."""
+        code = pc.fill_null(pc.index_in(ticker, pa.array(self.known, pa.string())), len(self.known)).to_numpy(zero_copy_only=False)
+        table = np.repeat(self.any_ticker[block, None], len(self.known) + 1, axis=1)
+        for row, places in zip(table, self.places[block], strict=True):
+            row[places] = True
+        of, own = self.year[block, None], pc.cast(year, pa.float64()).to_numpy(zero_copy_only=False)[None]
+        return table[:, code] & (np.isnan(of) | (of == own)) & ~self.nothing[block, None]

@@ -39,6 +39,24 @@ def allowed_pairs(queries: DataFrame, chunks: DataFrame, ticker: str = "ticker",
     return both.select("qid", "id").union(by_ticker.select("qid", "id")).union(by_year.select("qid", "id"))
 
 
+def _by_term_filtered(collection: Collection, queries: DataFrame, chunks: DataFrame, meta: DataFrame, within: DataFrame | None, n: int, settings: Settings) -> DataFrame:
+    """BM25 under the questions' entities: in place over the documents, whose index may hold the metadata; by pairs if the questions are too many."""
+    docs, names = collection.index.docs, (collection.ticker, collection.year)
+    if within is not None:
+        docs = docs.join(within, "id", "left_semi")
+    if set(names) <= set(docs.columns):
+        docs = docs.select("id", "toks", "dl", F.col(names[0]).cast("string").alias("ticker"), F.col(names[1]).cast("int").alias("year"))
+    else:
+        docs = docs.join(meta, "id", "left")
+    found = lexical.top_n_restricted(collection.index, docs, queries, n, settings)
+    if found is not None:
+        return found
+    restricted = (F.size("tickers") > 0) | (F.size("years") == 1)
+    bound = queries.where(restricted)
+    free = lexical.top_n(collection.index, queries.where(~restricted), n, settings, within=within)
+    return free.unionByName(lexical.top_n(collection.index, bound, n, settings, allowed_pairs(bound, chunks, *names)))
+
+
 def retrieve(queries: DataFrame, collection: Collection, config: str, top_k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS, score: Callable[[DataFrame], DataFrame] = rerank.lexical_scores, where: dict | None = None) -> DataFrame:
     """Hits: qid, rank, id, score, retrieval_method and the chunk's columns.
 
@@ -55,21 +73,16 @@ def retrieve(queries: DataFrame, collection: Collection, config: str, top_k: int
         chunks = predicates.apply(chunks, where)
         within = chunks.select("id")
         vectors = vectors.join(within, "id", "left_semi")
-    free, bound = queries, None
-    if config.endswith("_filter"):  # questions without entities search everything, the others what they allow
-        restricted = (F.size("tickers") > 0) | (F.size("years") == 1)
-        free, bound = queries.where(~restricted), queries.where(restricted)
-        allowed = allowed_pairs(bound, chunks, collection.ticker, collection.year)
-    by_vector = dense.top_n(vectors, free, n, settings=settings)
-    if bound is not None:
-        near = allowed.join(vectors, "id").join(bound.select("qid", "vector"), "qid").select("qid", "id", dense.cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null")
-        by_vector = by_vector.unionByName(lexical.ranked(near, n))
+    filtered = config.endswith("_filter")  # questions without entities search everything, the others what they allow
+    if filtered:
+        meta = chunks.select("id", F.col(collection.ticker).cast("string").alias("ticker"), F.col(collection.year).cast("int").alias("year"))
+        by_vector = dense.top_n(vectors.join(meta, "id", "left"), queries, n, settings=settings, restricted=True)
+    else:
+        by_vector = dense.top_n(vectors, queries, n, settings=settings)
     if config == "dense":
         found = by_vector.select("qid", "id", "score", "rank")
     else:
-        by_term = lexical.top_n(collection.index, free, pool, settings, within=within)
-        if bound is not None:
-            by_term = by_term.unionByName(lexical.top_n(collection.index, bound, pool, settings, allowed))
+        by_term = _by_term_filtered(collection, queries, chunks, meta, within, pool, settings) if filtered else lexical.top_n(collection.index, queries, pool, settings, within=within)
         fused = fusion.top_k(fusion.fuse([by_vector, by_term], settings.rrf_k), 2, pool if "rerank" in config else top_k)
         found = fused.select("qid", "id", "score", "rank")
     if "rerank" in config:

@@ -79,7 +79,7 @@ def dense_native_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection(spark: SparkSession, sf_dir: str) -> retrieve.Collection:
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("ticker"), (2022 + F.col("doc_id") % 3).cast("int").alias("fiscal_year"), F.col("source").alias("section_id"), "text")
-    return retrieve.Collection(docs, vectors(spark, sf_dir).select("id", "embedding"), lexical.build(docs, "id"))
+    return retrieve.Collection(docs, vectors(spark, sf_dir).select("id", "embedding"), lexical.build(docs, "id", keep=("ticker", "fiscal_year")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

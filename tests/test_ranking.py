@@ -204,3 +204,29 @@ def test_dense_filtered_survives_a_vector_of_another_width(spark):
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "qid long, vector array<float>")
     found = dense.top_n(predicates.apply(rows, {"label": 1}), asked, 3).orderBy("rank").collect()
     assert [(r["id"], r["score"]) for r in found] == [(0, 1.0), (2, 0.0)]
+
+
+@pytest.mark.parametrize("where", [None, {"section_id": "item_1"}])
+def test_filtered_retrieval_forms_no_pairs(spark, monkeypatch, where):
+    """Bounded questions are filtered inside the scoring tasks, with and without metadata in the index, and as by pairs."""
+    some = collection(spark)
+    kept = retrieve.Collection(some.chunks, some.vectors, lexical.build(some.chunks, "id", keep=("ticker", "fiscal_year")))
+    many = Settings(broadcast_queries=1)
+    by_pairs = sorted(map(str, retrieve.retrieve(asked(spark), some, "hybrid_filter", 3, many, where=where).collect()))
+
+    def fail(*_):
+        raise AssertionError("pairs of questions and documents")
+
+    monkeypatch.setattr(retrieve, "allowed_pairs", fail)
+    for c in (some, kept):
+        assert sorted(map(str, retrieve.retrieve(asked(spark), c, "hybrid_filter", 3, where=where).collect())) == by_pairs
+
+
+def test_allowed_is_the_clause_of_pairs(spark):
+    questions = [(0, [], []), (1, ["A"], []), (2, ["A", "B"], [2022]), (3, [], [2023]), (4, ["C"], [2022, 2023]), (5, [], [2022, 2023]), (6, ["A"], [None]), (7, [], [None])]
+    rows = [(0, "A", 2022), (1, "B", 2022), (2, "A", 2023), (3, None, 2023), (4, "A", None), (5, "Z", 2022)]
+    of = spark.createDataFrame(questions, "qid long, tickers array<string>, years array<int>")
+    pairs = {(r["qid"], r["id"]) for r in retrieve.allowed_pairs(of, spark.createDataFrame(rows, "id long, ticker string, fiscal_year int")).collect()}
+    mask = predicates.Allowed([q[1] for q in questions], [q[2] for q in questions]).mask(pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), slice(0, 99))
+    free = {(q, i) for q in (0, 5) for i in range(6)}
+    assert {(int(q), int(i)) for q, i in zip(*np.nonzero(mask), strict=True)} == pairs | free
