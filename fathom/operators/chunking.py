@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .sections import slices
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -91,7 +92,7 @@ _SPLIT = "ticker string, fiscal_year int, filing_date string, section_id string,
 
 def _run(filings: DataFrame, cut) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for filing in batch.to_pylist():
                 parts = sorted(filing["sections"] or [], key=lambda s: s["order"])

@@ -45,6 +45,20 @@ HEADER = r"(?:^|\n)[ \t]*item\s+(\d+\s*[a-z]?)[ \t]*[.\-—–:]?[ \t]*([^\n]{0,
 STRICT_HEADER = r"(?:^|\n)[ \t]*item[ \t]+(\d+[a-z]?)\b[ \t]*[.\-—–:]?[ \t]*([^\n]{0,120})"
 
 
+#: Bytes of a batch that are Python objects at a time (a single row may have more).
+AT_ONCE = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, about AT_ONCE bytes at a time; freed Arrow memory goes back to the system after each batch."""
+    for batch in batches:
+        step = max(1, len(batch) * AT_ONCE // max(batch.nbytes, 1))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def scan_headers(df: DataFrame, key: str, text_col: str = "text", strict: bool = False) -> DataFrame:
     """key, item, title, pos of every item header.
 
@@ -54,7 +68,7 @@ def scan_headers(df: DataFrame, key: str, text_col: str = "text", strict: bool =
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, "".join(m[1].split()).lower(), m[2].strip().rstrip("."), m.start()) for i, text in enumerate(batch["text"].to_pylist()) for m in pattern.finditer(text or "")]
             at, item, title, pos = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(at, pa.int64())), pa.array(item, pa.string()), pa.array(title, pa.string()), pa.array(pos, pa.int64())], names=[key, "item", "title", "pos"])

@@ -149,3 +149,32 @@ def test_chunked_filings_hold_whole_documents(spark):
     ends = {(int(r["ticker"]), r["text"].rstrip()[-40:]) for r in queries.chunk_section_aware(spark, sf).collect()}
     long = [i for i, t in text.items() if i % 2 and len(t) > 3000]
     assert long and sum((i, text[i].rstrip()[-40:]) in ends for i in long) >= 0.9 * len(long)
+
+
+class Taken:
+    """Stands for a DataFrame and keeps the function of its Arrow stage."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_chunking_holds_a_part_of_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    section = {"order": 0, "section_id": "item_1", "section_title": "Business"}
+    filings = [{"ticker": str(i), "fiscal_year": 2024, "filing_date": "", "sections": [section | {"text": f"{i} " + "word and more. " * 200}]} for i in range(5000)]
+    batch = pa.RecordBatch.from_pylist(filings)
+    taken = Taken()
+    chunking._run(taken, lambda parts: [(0, 0, parts[0]["text"][:1000]), (1, 0, parts[0]["text"][1000:])])
+    tracemalloc.start()
+    found = [(t, i) for out in taken.run(iter([batch])) for t, i in zip(out["ticker"].to_pylist(), out["chunk_index_in_filing"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(str(i), k) for i in range(5000) for k in (0, 1)]
+    assert peak < 10e6
