@@ -103,7 +103,7 @@ ASKED, CELLS = 1_000_000, 1 << 24
 #: Hits per question up to which tasks keep their own best.
 MOST_IN_PLACE = 1000
 #: Cells of the document x term block that is scored at a time.
-BLOCK_CELLS = 1 << 22
+BLOCK_CELLS = 1 << 20
 #: Questions whose restrictions are looked up together.
 TOGETHER = 1024
 
@@ -135,9 +135,11 @@ def _best_in_place(docs: DataFrame, found: tuple[list, list[str], np.ndarray], a
                 new = (tf @ weights).T
                 for some in range(0, len(qids) if allowed is not None else 0, TOGETHER):
                     new[some : some + TOGETHER][~allowed.mask(batch["ticker"], batch["year"], slice(some, some + TOGETHER))] = -np.inf
-                score = np.hstack([score, new])
-                every = np.broadcast_to(own, new.shape)
-                ids = every if ids is None else np.hstack([ids, every])
+                place = np.empty(len(own), np.int64)
+                place[np.argsort(own, kind="stable")] = np.arange(len(own))  # the block's best go by numbers, ids may be long strings
+                first = np.lexsort((np.broadcast_to(place, new.shape), -np.round(new, 6)), axis=-1)[:, :n]
+                score = np.hstack([score, np.take_along_axis(new, first, 1)])
+                ids = own[first] if ids is None else np.hstack([ids, own[first]])
                 first = np.lexsort((ids, -np.round(score, 6)), axis=-1)[:, :n]
                 score, ids = np.take_along_axis(score, first, 1), np.take_along_axis(ids, first, 1)
         if ids is not None:

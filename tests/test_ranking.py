@@ -230,3 +230,37 @@ def test_allowed_is_the_clause_of_pairs(spark):
     mask = predicates.Allowed([q[1] for q in questions], [q[2] for q in questions]).mask(pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), slice(0, 99))
     free = {(q, i) for q in (0, 5) for i in range(6)}
     assert {(int(q), int(i)) for q, i in zip(*np.nonzero(mask), strict=True)} == pairs | free
+
+
+def test_in_place_scoring_of_long_ids_is_bounded():
+    """Few terms and many questions: the block of scores is bounded too, and ids of text are not copied for every score."""
+
+    class Taken:
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    rng = np.random.default_rng(7)
+    terms, n_docs, n_queries = ["a", "b", "c"], 3000, 400
+    counts = rng.integers(0, 3, (n_docs, 3))
+    ids = [f"{'x' * 40}_{(i * 7919) % n_docs:05d}" for i in range(n_docs)]
+    toks = [[t for t, c in zip(terms, row, strict=True) for _ in range(c)] for row in counts.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(toks, pa.list_(pa.string())), pa.array([len(t) for t in toks], pa.int32())], names=["id", "toks", "dl"])
+    weights = rng.integers(0, 3, (3, n_queries)).astype(float)
+    taken = Taken()
+    lexical._best_in_place(taken, (list(range(n_queries)), terms, weights), 3.0, 4, Settings(), "string")
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(taken.run(iter([batch.slice(0, 1500), batch.slice(1500)])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = counts.sum(1, keepdims=True)
+    score = np.round((counts * 2.5 / (counts + 1.5 * (0.25 + 0.75 * size / 3.0))) @ weights, 6)
+    for q in (0, 1, 399):
+        want = sorted(zip((-score[:, q]).tolist(), ids, strict=True))[:4]
+        assert sorted((-round(r["score"], 6), r["id"]) for r in found if r["qid"] == q) == want
+    assert peak < 60e6
