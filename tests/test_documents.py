@@ -178,3 +178,11 @@ def test_chunking_holds_a_part_of_a_batch():
     tracemalloc.stop()
     assert found == [(str(i), k) for i in range(5000) for k in (0, 1)]
     assert peak < 10e6
+
+
+def test_slices_keep_rows_and_order_in_small_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10_000] * 500, "i": list(range(500))})
+    parts = list(sections.slices(iter([batch, batch.slice(0, 0)])))
+    assert [i for p in parts for i in p["i"].to_pylist()] == list(range(500)) and max(p.num_rows for p in parts) <= 110
